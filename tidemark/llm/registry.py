@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, url_filter
+from . import bpe, decontaminate, fingerprint, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_bpe": bpe.op4_bpe,
     }
 
 
