@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, url_filter
+from . import bpe, decontaminate, fingerprint, near_dup, url_filter
 
 
 def queries() -> dict:
@@ -11,8 +11,9 @@ def queries() -> dict:
         "op2_fingerprint": fingerprint.op2_fingerprint,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bpe": bpe.op4_bpe,
+        "op5_near_dup": near_dup.op5_near_dup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": url_filter.ORACLE, "op3_decontaminate": decontaminate.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_near_dup": near_dup.ORACLE}
