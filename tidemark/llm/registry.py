@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, near_dup, url_filter
+from . import bpe, decontaminate, fingerprint, lang_id, near_dup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_bpe": bpe.op4_bpe,
         "op5_near_dup": near_dup.op5_near_dup,
+        "op6_lang_id": lang_id.op6_lang_id,
     }
 
 
