@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from .plans import bench, chk, cmd, kv, raft
 
+FAMILIES = (kv, cmd, raft, bench, chk)
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: q for family in FAMILIES for name, q in family.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.ORACLES.items()}
