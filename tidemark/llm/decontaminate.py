@@ -261,13 +261,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     ``max_coverage`` of their words go. As a cut joins what stood apart, texts are scanned again until nothing
     is hit; clean documents come through unchanged, byte for byte."""
     names = docs.columns
-    at, n = names.index("text"), len(names)
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "`_words` long", "`_cut` long"])
-    out = docs.withColumns({"_words": F.lit(None).cast("long"), "_cut": F.lit(0).cast("long")})
+    row = docs.select("text", F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in row.dtypes)
     shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
     for auto in shared * min(2, len(shared)):  # a cut for one block may join words that an earlier block has
-        out = arrow_map(out, _cutter(auto, at, n), kinds)
-    return out.filter(F.col("_cut") <= max_coverage * F.coalesce("_words", F.lit(0))).select(*names) if shared else docs
+        row = arrow_map(row, _cutter(auto, 0, 2), kinds)
+    if not shared:
+        return docs
+    row = row.filter(F.col("_cut") <= max_coverage * F.coalesce("_words", F.lit(0)))
+    return row.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 
 def _cutter(shared, at: int, n: int):

@@ -271,6 +271,13 @@ def trained(docs: DataFrame, **limits) -> Model:
     return learn(docs.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text"), **limits)
 
 
+def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: those without letters, and those whose best
+    language has a score below ``least``."""
+    row = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return identify(row, trained(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+
+
 def op6_lang_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learned from four fifths of the rows."""
     docs = table(spark, sf_dir, "documents")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fingerprint, lang_id, near_dup, pii, secrets, url_filter
+from . import bpe, decontaminate, fingerprint, lang_id, near_dup, pii, quality, secrets, token_count, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,8 @@ def queries() -> dict:
         "op4_bpe": bpe.op4_bpe,
         "op5_near_dup": near_dup.op5_near_dup,
         "op6_lang_id": lang_id.op6_lang_id,
+        "op7_quality": quality.op7_quality,
+        "op8_token_count": token_count.op8_token_count,
         "op9_pii": pii.op9_pii,
         "op10_secrets": secrets.op10_secrets,
     }
