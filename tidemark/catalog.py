@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import bench, chk, cmd, kv, raft
+from .plans import bench, chk, cmd, kv, raft, st
 
-FAMILIES = (kv, cmd, raft, bench, chk)
+FAMILIES = (kv, cmd, raft, bench, chk, st)
 
 
 def queries() -> dict[str, Callable]:
