@@ -90,12 +90,19 @@ def _terms(c: Column, letters: int) -> Column:
 def disclosing_terms(rows: DataFrame, limits: Limits, tables: list[Table]) -> tuple[DataFrame, DataFrame] | None:
     """``rows`` has doc_id, _key, text and base. Returns the disclosing terms (term, kind) and, for the terms that
     were looked at, the documents they occur in (doc_id, _key, term); None where no term is in contexts enough."""
-    mentions = rows.filter(F.size("base") > 0).select("text", F.explode("base").alias("s"))
+    mentions = rows.filter(F.size("base") > 0).select("_key", "text", F.explode("base").alias("s"))
     around = lambda n: (F.substring("text", F.greatest(F.col("s.start") - n, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(n))), F.substring("text", F.col("s.end") + 1, F.lit(n)))
     left, right = around(limits.reach)
     near = F.concat(F.regexp_extract(left, r"(?:\S+\s+){0,3}$", 0), F.regexp_extract(right, r"^(?:\s+\S+){0,3}", 0))
-    seen = mentions.select(F.lower("s.text").alias("entity"), F.xxhash64(near).alias("context"), F.explode(_terms(F.concat(left, F.lit(" "), right), limits.letters)).alias("term")).distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= limits.contexts)
+    terms = F.explode(_terms(F.concat(left, F.lit(" "), right), limits.letters)).alias("term")
+    seen = mentions.select("_key", F.lower("s.text").alias("entity"), F.xxhash64(near).alias("context"), terms)
+    tables.append(Table(seen, "pii-contexts"))
+    seen = tables[-1].df
+    pairs = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= limits.contexts)
+    # a term near some entity in m documents is in m at least: with m above n_entity / share, P(e|t) is below share
+    near_any = seen.select("term", "_key").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("m"))
+    of_entity = seen.select("entity", "_key").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("k"))
+    pairs = pairs.join(near_any, "term").join(of_entity, "entity").filter(F.col("m") * limits.share <= F.col("k"))
     tables.append(Table(pairs.select("entity", "term"), "pii-pairs"))
     pairs = tables[-1].df
     if pairs.isEmpty():
