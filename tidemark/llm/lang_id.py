@@ -120,7 +120,7 @@ class Model:
         for i in range(n):
             here = sums[i % ring]
             top = max(here)
-            if top < 1e-200:
+            if not 1e-200 < top < 1e200:
                 shift += log(top)
                 for s in sums:
                     s[:] = [x / top for x in s]
