@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-IPV4 = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
-IPV6 = r"\b(?:[0-9a-fA-F]{1,4}:){4,7}[0-9a-fA-F]{1,4}\b"
-HOME = r"/(?:home|Users)/[A-Za-z0-9._-]+"
+# What counts as an address or a home folder.
+IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
+IPV6 = r"[0-9A-Fa-f:]*:[0-9A-Fa-f:]*"
+HOME = r"(?:/home/|/Users/)[^/\"\s\\]+|/root(?:/|\"|$)"
+_PART = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 PASS, WARN, FAIL = "PASS", "WARN", "FAIL"
 
 
-def privacy(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """What in a text points at a machine or person: addresses, loopback addresses apart, and home folders."""
-    v4 = F.regexp_extract_all(text, F.lit(IPV4), F.lit(0))
-    mine = F.filter(v4, lambda x: x.startswith("127.") | (x == "0.0.0.0"))
-    found = docs.select(ident, F.size(v4).cast("long").alias("ipv4"), F.size(mine).cast("long").alias("loopback"), F.size(F.regexp_extract_all(text, F.lit(IPV6), F.lit(0))).cast("long").alias("ipv6"), F.size(F.regexp_extract_all(text, F.lit(HOME), F.lit(0))).cast("long").alias("homes"))
-    bad = (F.col("ipv4") > F.col("loopback")) | (F.col("ipv6") > 0) | (F.col("homes") > 0)
-    return found.withColumn("status", F.when(bad, FAIL).when(F.col("loopback") > 0, WARN).otherwise(PASS))
+def privacy(docs: DataFrame, ident: str, text: str, words: tuple[str, ...] = ()) -> DataFrame:
+    """What in a text points at a machine or person: addresses, home folders and the given words; FAIL with any,
+    WARN with loopback or unspecified addresses alone."""
+    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
+    v4 = F.filter(every(IPV4), lambda x: x.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"))
+    groups = lambda x: F.size(F.filter(F.split(x, ":"), lambda g: g != ""))
+    long = rf"^(?:{_HEX}:){{7}}{_HEX}$"
+    short = rf"^(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?$"
+    v6 = F.filter(every(IPV6), lambda x: x.rlike(long) | (x.rlike(short) & (groups(x) <= 7)))
+    own = F.filter(F.concat(v4, v6), lambda x: x.startswith("127.") | (x == "0.0.0.0") | x.rlike("^[0:]*:0{0,3}[01]$|^::$"))
+    found = docs.select(ident, *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for n, c in (("ipv4", v4), ("ipv6", v6), ("loopback", own), ("homes", every(HOME)))], *[F.coalesce(F.col(text).rlike(rf"(?i)(?:^|[^A-Za-z0-9_-])\Q{w}\E(?:$|[^A-Za-z0-9_-])"), F.lit(False)).alias(f"_w{i}") for i, w in enumerate(words)])
+    named = F.lit(False)
+    for i in range(len(words)):
+        named = named | F.col(f"_w{i}")
+    bad = (F.col("ipv4") + F.col("ipv6") > F.col("loopback")) | (F.col("homes") > 0) | named
+    return found.withColumn("status", F.when(bad, FAIL).when(F.col("loopback") > 0, WARN).otherwise(PASS)).drop(*[f"_w{i}" for i in range(len(words))])
 
 
 def recorded(c: Column) -> Column:
@@ -52,20 +64,39 @@ def parsed_list(c: Column, separator: str = ",") -> Column:
 
 
 def validity(runs: DataFrame, *group: str) -> DataFrame:
-    """FAIL without a valid run, WARN with some invalid, else PASS."""
-    ok, n = F.count_if("valid"), F.count(F.lit(1))
-    return runs.groupBy(*group).agg(ok.alias("valid_runs"), n.alias("runs")).withColumn("status", F.when(F.col("valid_runs") == 0, FAIL).when(F.col("valid_runs") < F.col("runs"), WARN).otherwise(PASS))
+    """Of runs (valid, elections): FAIL if one isn't judged or lost by an election, WARN if some are invalid, else PASS."""
+    judged, n = F.count("valid"), F.count(F.lit(1))
+    invalid = F.count_if(~F.col("valid"))
+    by_election = F.count_if(~F.col("valid") & (F.col("elections") > 0))
+    out = runs.groupBy(*group).agg(n.alias("runs"), judged.alias("judged"), invalid.alias("invalid"), by_election.alias("by_election"))
+    return out.withColumn("status", F.when((F.col("judged") < F.col("runs")) | (F.col("runs") == 0) | (F.col("by_election") > 0), FAIL).when(F.col("invalid") > 0, WARN).otherwise(PASS))
+
+
+# The official protocol.
+WARMUP, WINDOW, REPETITIONS = 5.0, 30.0, 5
 
 
 def protocol(warmup: Column, window: Column, repetitions: Column) -> Column:
-    """The official protocol: 5 s, 30 s, 5 repetitions; a longer window or more repetitions warn."""
-    return F.when((warmup == 5) & (window == 30) & (repetitions == 5), PASS).when((warmup >= 5) & (window >= 30) & (repetitions >= 5), WARN).otherwise(FAIL)
+    """FAIL if something isn't recorded, WARN if it isn't the official protocol."""
+    known = warmup.isNotNull() & window.isNotNull() & repetitions.isNotNull()
+    return F.when(~known, FAIL).when((warmup == WARMUP) & (window == WINDOW) & (repetitions == REPETITIONS), PASS).otherwise(WARN)
 
 
 def failure_class(message: Column) -> Column:
-    """What kind of send failure a message tells of."""
-    low = F.lower(message)
-    return F.when(low.contains("deadline") | low.contains("timeout"), "timeout").when(low.contains("refused") | low.contains("unavailable"), "unavailable").when(low.contains("cancel"), "cancelled").otherwise("other")
+    """Send failures by an expired deadline, and all others."""
+    return F.when(F.lower(message).contains("deadline exceeded") | F.lower(message).contains("deadlineexceeded"), "deadline").otherwise("other")
+
+
+def arm_spec(spec: Column) -> Column:
+    """name, rev and picks of "name=rev+pick,pick"; null if it isn't one."""
+    name = F.trim(F.regexp_extract(spec, r"^([^=]*)=", 1))
+    rest = F.trim(F.regexp_extract(spec, r"=([\s\S]*)$", 1))
+    plus = F.instr(rest, "+") > 0
+    rev = F.trim(F.regexp_extract(rest, r"^([^+]*)", 1))
+    picks = F.when(plus, F.transform(F.split(F.regexp_extract(rest, r"\+([\s\S]*)$", 1), ","), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>"))
+    good = lambda r: (r != "") & ~r.startswith("-") & ~r.rlike(r"[ \t\n]")
+    ok = F.contains(spec, F.lit("=")) & name.rlike(r"^[A-Za-z0-9_-]+$") & good(rev) & F.forall(picks, good)
+    return F.when(ok, F.struct(name.alias("name"), rev.alias("rev"), picks.alias("picks")))
 
 
 def normal_voters(voters: Column) -> Column:

@@ -16,8 +16,7 @@ def problem() -> Column:
     return (
         F.when(~F.coalesce(F.col("operation").isin("put", "delete"), F.lit(False)), "operation")
         .when((key_size < 1) | (key_size > MAX_KEY_BYTES), "key")
-        .when((F.col("operation") == "put") & (F.octet_length(F.coalesce("value", F.lit(""))) > MAX_VALUE_BYTES), "value")
-        .when((F.col("operation") == "delete") & (F.octet_length(F.coalesce("value", F.lit(""))) > 0), "value")
+        .when(F.octet_length(F.coalesce("value", F.lit(""))) > MAX_VALUE_BYTES, "value")
         .when(F.coalesce("client_id", F.lit("")) == "", "client")
         .when(F.coalesce("request_seq", F.lit(0)) < 1, "request")
     )

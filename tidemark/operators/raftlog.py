@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.running import before_max, previous, running_sum
-from ..schema import APPEND_CAP_BYTES, BATCH_MAX_BYTES, BATCH_MAX_ENTRIES, ENTRY_OVERHEAD_BYTES
+from ..schema import APPEND_CAP_BYTES, BATCH_MAX_BYTES, BATCH_MAX_ENTRIES, ENTRY_OVERHEAD_BYTES, MAX_ENTRY_BYTES
 
 CHUNK = 1000
 
@@ -57,19 +57,22 @@ def conflict_hint(log: DataFrame, leader: int = 1) -> DataFrame:
     return at.join(term_runs(log), "node").filter(F.col("truncate_from").between(F.col("first_idx"), F.col("last_idx"))).select("node", "truncate_from", F.col("term").alias("conflict_term"), F.col("first_idx").alias("hint"))
 
 
-def malformed(messages: DataFrame) -> DataFrame:
-    """The first rule that an append message breaks, or null. Messages: prev_index, prev_term, first_idx, first_term,
-    term, ordered (terms don't fall), contiguous, commit_index."""
+def malformed(messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """Why an append can't come from a correct leader, or null: the first entry that breaks a rule, and the first rule
+    that it breaks. Messages: msg, prev_index, prev_term, term; entries: msg, pos (from 0), idx, entry_term, bytes. A
+    message's entries are bounded by the append cap."""
     c = F.col
+    w = Window.partitionBy("msg").orderBy("pos")
+    rows = entries.withColumn("above", F.lag("entry_term").over(w)).join(messages, "msg")
     reason = (
-        F.when((c("prev_index") == 0) & (c("prev_term") != 0), "term without index")
-        .when((c("prev_index") > 0) & (c("prev_term") == 0), "index without term")
-        .when(c("prev_term") > c("term"), "previous term ahead")
-        .when(c("first_idx") != c("prev_index") + 1, "gap after previous")
-        .when(~c("contiguous"), "not contiguous")
-        .when((c("first_term") < c("prev_term")) | ~c("ordered"), "terms fall")
+        F.when(c("idx") != c("prev_index") + c("pos") + 1, "index")
+        .when(c("entry_term") == 0, "term zero")
+        .when(c("bytes") > MAX_ENTRY_BYTES, "too large")
+        .when(c("entry_term") > c("term"), "above the message term")
+        .when(c("entry_term") < F.coalesce("above", "prev_term"), "below the term before")
     )
-    return messages.withColumn("reason", reason)
+    bad = rows.withColumn("reason", reason).filter("reason IS NOT NULL").groupBy("msg").agg(F.min("pos").alias("pos"), F.min_by("reason", "pos").alias("reason"))
+    return messages.select("msg").join(bad, "msg", "left")
 
 
 def contiguity(log: DataFrame) -> DataFrame:
@@ -89,10 +92,10 @@ def replication_lag(matches: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def role_transitions(statuses: DataFrame) -> DataFrame:
-    """Elections started, leaderships won and lost by each node, from successive statuses."""
-    back = previous(statuses.select("node", "tick", "role"), ["node"], "tick", ["role"])
+    """Elections started and leaderships won by each node, and leaderships lost within a term, from successive statuses."""
+    back = previous(statuses.select("node", "tick", "role", "term"), ["node"], "tick", ["role", "term"])
     became = lambda role: F.count_if((F.col("role") == role) & F.coalesce(F.col("prev_role") != role, F.lit(True)))
-    return back.groupBy("node").agg(became("candidate").alias("elections"), became("leader").alias("won"), F.count_if((F.col("prev_role") == "leader") & (F.col("role") != "leader")).alias("lost"))
+    return back.groupBy("node").agg(became("candidate").alias("elections"), became("leader").alias("won"), F.count_if((F.col("prev_role") == "leader") & (F.col("role") != "leader") & (F.col("prev_term") == F.col("term"))).alias("lost"))
 
 
 def vote_grants(requests: DataFrame, voters: DataFrame) -> DataFrame:
@@ -164,3 +167,31 @@ def snapshot_chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     w = Window.partitionBy("_cell").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     placed = cells.join(F.broadcast(before), "_cell").withColumn("offset", F.sum("bytes").over(w) - F.col("bytes") + F.col("_b"))
     return placed.withColumn("chunk", F.floor(F.col("offset") / chunk)).groupBy("chunk").agg(F.min("offset").alias("offset"), F.count(F.lit(1)).alias("records"), F.sum("bytes").alias("bytes"))
+
+
+def valid_prefix(records: DataFrame, snapshot_index: int = 0) -> DataFrame:
+    """What a recovered log keeps: records (place, idx, good) above the snapshot, up to the first that is damaged or
+    doesn't go on from the one before."""
+    back = previous(records.select("place", "idx", "good"), [], "place", ["idx"])
+    broken = ~F.col("good") | (F.col("idx") != F.coalesce(F.col("prev_idx") + 1, F.col("idx")))
+    stop = back.filter(broken).agg(F.min("place").alias("stop"))  # one row
+    return records.join(F.broadcast(stop)).filter((F.col("stop").isNull() | (F.col("place") < F.col("stop"))) & (F.col("idx") > snapshot_index)).select("place", "idx")
+
+
+def after_snapshot(log: DataFrame, index: int, term: int) -> DataFrame:
+    """What a log keeps when a snapshot is installed: the suffix if it agrees with the snapshot's last entry, else nothing."""
+    agrees = log.filter((F.col("idx") == index) & (F.col("term") == term)).select("node").distinct()
+    return log.filter(F.col("idx") > index).join(agrees, "node", "left_semi")
+
+
+def has_quorum(acks: Column, voters: Column, joint: Column | None = None) -> Column:
+    """Whether the acknowledging peers are a majority of the voters, and of the joint voters where there are some."""
+    met = lambda v: F.size(F.array_intersect(acks, v)) >= F.floor(F.size(v) / 2) + 1
+    return met(voters) if joint is None else met(voters) & (F.coalesce(F.size(joint), F.lit(0)).isin(0, -1) | met(joint))
+
+
+def match_after_response(next_index: Column, match: Column, reject: Column, acked: Column, hint: Column) -> Column:
+    """(match, next) of a peer after its answer: an accepted append moves both up, a rejected one moves next to the hint."""
+    up = F.greatest(match, acked)
+    back = F.greatest(F.lit(1), F.least(next_index, hint), match + 1)
+    return F.when(reject, F.struct(match.alias("match"), back.alias("next"))).otherwise(F.struct(up.alias("match"), F.greatest(next_index, up + 1).alias("next")))

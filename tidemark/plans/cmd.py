@@ -40,6 +40,6 @@ ORACLES = {
   CASE WHEN idx % 13 = 0 THEN '' WHEN idx % 101 = 0 THEN repeat('k', 16385) ELSE key END AS key, CASE WHEN idx % 10 = 0 THEN '' ELSE value END AS value,
   CASE WHEN idx % 17 = 0 THEN NULL ELSE client_id END AS client_id, CASE WHEN idx % 19 = 0 THEN 0 ELSE request_seq + 1 END AS request_seq FROM cmd),
 p AS (SELECT idx, CASE WHEN operation NOT IN ('put', 'delete') THEN 'operation' WHEN strlen(key) NOT BETWEEN 1 AND 16384 THEN 'key'
-  WHEN operation = 'delete' AND strlen(coalesce(value, '')) > 0 THEN 'value' WHEN client_id IS NULL THEN 'client' WHEN request_seq < 1 THEN 'request' ELSE 'none' END AS problem FROM f)
+  WHEN client_id IS NULL THEN 'client' WHEN request_seq < 1 THEN 'request' ELSE 'none' END AS problem FROM f)
 SELECT problem, count(*) AS commands, min(idx) AS first_idx FROM p GROUP BY problem""", "cmd"),
 }

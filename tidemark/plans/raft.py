@@ -11,18 +11,20 @@ _SIDES = [("old", p) for p in ("click", "view", "error")] + [("new", p) for p in
 
 
 def _messages(spark, sf):
-    """Append messages, one for each ten log entries, some of them malformed."""
+    """Append messages, one for each ten log entries, and their entries, some of them malformed."""
     e = F.col("event_id")
-    return D.table(spark, sf, "events").filter(e % 10 == 0).select(
-        e.alias("tick"),
-        F.when(e % 70 == 0, 0).otherwise(e).alias("prev_index"),
-        F.when(e % 110 == 0, 0).otherwise(1 + F.floor(e / 2500)).cast("long").alias("prev_term"),
-        F.when(e % 130 == 0, e + 2).when(e % 70 == 0, 1).otherwise(e + 1).alias("first_idx"),
-        (1 + F.floor((e + 1) / 2500)).cast("long").alias("first_term"),
-        F.when(e % 170 == 0, 0).otherwise(1 + F.floor((e + 1) / 2500)).cast("long").alias("term"),
-        (e % 190 != 0).alias("ordered"),
-        (e % 230 != 0).alias("contiguous"),
-    )
+    events = D.table(spark, sf, "events")
+    heads = events.filter(e % 10 == 0).select(e.alias("msg"), e.alias("prev_index"), (1 + F.floor(e / 2500)).cast("long").alias("prev_term"), F.when(e % 170 == 0, 0).otherwise(1 + F.floor((e + 9) / 2500)).cast("long").alias("term"))
+    msg = (e - e % 10).alias("msg")
+    term = F.when(e % 1103 == 0, 0).when(e % 211 == 0, F.floor(e / 2500)).otherwise(1 + F.floor(e / 2500)).cast("long").alias("entry_term")
+    entries = events.select(msg, (e % 10).alias("pos"), F.when(e % 131 == 0, e + 2).otherwise(e + 1).alias("idx"), term, F.when(e % 307 == 0, 5_000_000).otherwise(F.length("props")).cast("long").alias("bytes"))
+    return heads, entries
+
+
+def _recovered(spark, sf):
+    """Log records as read back, in file order; one is damaged."""
+    e = F.col("event_id")
+    return D.table(spark, sf, "events").select(e.alias("place"), F.when(e < 700, e + 1).otherwise(e + 1).alias("idx"), (e != 812).alias("good"))
 
 
 def _requests(spark, sf):
@@ -45,7 +47,7 @@ QUERIES = {
     "raft_joint_commit": lambda s, d: raftlog.joint_commit(D.match_table(s, d), s.createDataFrame(_SIDES, "side string, peer string")),
     "raft_log_conflict": lambda s, d: raftlog.first_conflict(D.replica_log(s, d)),
     "raft_conflict_hint": lambda s, d: raftlog.conflict_hint(D.replica_log(s, d)),
-    "raft_malformed": lambda s, d: raftlog.malformed(_messages(s, d)).select("tick", F.coalesce("reason", F.lit("none")).alias("reason")),
+    "raft_malformed": lambda s, d: raftlog.malformed(*_messages(s, d)).select("msg", "pos", F.coalesce("reason", F.lit("none")).alias("reason")),
     "raft_contiguity": lambda s, d: raftlog.contiguity(D.replica_log(s, d).filter("NOT (node = 2 AND idx = 500)")),
     "raft_replication_lag": lambda s, d: raftlog.replication_lag(D.match_table(s, d)),
     "raft_role_transitions": lambda s, d: raftlog.role_transitions(D.statuses(s, d)),
@@ -54,6 +56,10 @@ QUERIES = {
     "raft_capped_batch": lambda s, d: raftlog.capped_prefix(D.replica_log(s, d), cap=20_000),
     "raft_greedy_batches": lambda s, d: raftlog.greedy_batches(D.table(s, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("grp"), F.col("event_id").alias("pos"), F.length("props").cast("long").alias("bytes")), "grp", most=64, cap=600),
     "raft_coalesce_runs": lambda s, d: raftlog.coalesced_runs(D.table(s, d, "events").select(F.col("event_id").alias("tick"), F.col("event_type").alias("sender"))),
+    "raft_valid_prefix": lambda s, d: raftlog.valid_prefix(_recovered(s, d), 100),
+    "raft_after_snapshot": lambda s, d: raftlog.after_snapshot(D.replica_log(s, d), 997, 1).groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.min("idx").alias("first_idx")),
+    "raft_quorum_check": lambda s, d: D.match_table(s, d).groupBy("grp").agg(F.collect_set(F.when(F.col("matched") > 400, F.col("peer"))).alias("acks")).select("grp", F.when(raftlog.has_quorum(F.col("acks"), F.array(*map(F.lit, ("click", "view", "error"))), F.array(*map(F.lit, ("click", "purchase", "signup", "missing")))), 1).otherwise(0).alias("quorum")),
+    "raft_append_response": lambda s, d: D.table(s, d, "events").select("event_id", raftlog.match_after_response(F.col("event_id") + 5, F.col("event_id") - F.col("user_id") % 9, F.col("event_type") == "error", F.col("event_id") + F.col("user_id") % 4, F.col("event_id") - F.col("user_id") % 40).alias("p")).select("event_id", "p.match", "p.next"),
     "raft_term_runs": lambda s, d: raftlog.term_runs(D.replica_log(s, d)),
     "raft_commit_regressions": lambda s, d: raftlog.monotone_commit(D.statuses(s, d)),
 }
@@ -70,14 +76,19 @@ SELECT grp, min(matched) AS commit_index FROM r WHERE r = n // 2 + 1 GROUP BY gr
     "raft_conflict_hint": _V("""c AS (SELECT f.node, min(f.idx) AS tick FROM rlog f JOIN rlog l ON l.node = 1 AND f.node <> 1 AND f.idx = l.idx AND f.term <> l.term GROUP BY f.node),
 i AS (SELECT node, idx, term, idx - row_number() OVER (PARTITION BY node, term ORDER BY idx) AS island FROM rlog)
 SELECT c.node, c.tick AS truncate_from, x.term AS conflict_term, (SELECT min(y.idx) FROM i y WHERE y.node = x.node AND y.term = x.term AND y.island = x.island) AS hint FROM c JOIN i x ON x.node = c.node AND x.idx = c.tick""", "rlog"),
-    "raft_malformed": """WITH m AS (SELECT event_id AS tick, CASE WHEN event_id % 70 = 0 THEN 0 ELSE event_id END AS pi, CASE WHEN event_id % 110 = 0 THEN 0 ELSE 1 + event_id // 2500 END AS pt,
-  CASE WHEN event_id % 130 = 0 THEN event_id + 2 WHEN event_id % 70 = 0 THEN 1 ELSE event_id + 1 END AS fi, 1 + (event_id + 1) // 2500 AS ft,
-  CASE WHEN event_id % 170 = 0 THEN 0 ELSE 1 + (event_id + 1) // 2500 END AS t, event_id % 190 <> 0 AS o, event_id % 230 <> 0 AS c FROM events WHERE event_id % 10 = 0)
-SELECT tick, CASE WHEN pi = 0 AND pt <> 0 THEN 'term without index' WHEN pi > 0 AND pt = 0 THEN 'index without term' WHEN pt > t THEN 'previous term ahead' WHEN fi <> pi + 1 THEN 'gap after previous'
-  WHEN NOT c THEN 'not contiguous' WHEN ft < pt OR NOT o THEN 'terms fall' ELSE 'none' END AS reason FROM m""",
+    "raft_malformed": """WITH h AS (SELECT event_id AS msg, event_id AS pi, 1 + event_id // 2500 AS pt, CASE WHEN event_id % 170 = 0 THEN 0 ELSE 1 + (event_id + 9) // 2500 END AS t FROM events WHERE event_id % 10 = 0),
+e AS (SELECT event_id - event_id % 10 AS msg, event_id % 10 AS pos, CASE WHEN event_id % 131 = 0 THEN event_id + 2 ELSE event_id + 1 END AS idx,
+  CASE WHEN event_id % 1103 = 0 THEN 0 WHEN event_id % 211 = 0 THEN event_id // 2500 ELSE 1 + event_id // 2500 END AS et, CASE WHEN event_id % 307 = 0 THEN 5000000 ELSE length(props) END AS b FROM events),
+r AS (SELECT h.msg, pos, CASE WHEN idx <> pi + pos + 1 THEN 'index' WHEN et = 0 THEN 'term zero' WHEN b > 4227072 THEN 'too large' WHEN et > t THEN 'above the message term'
+  WHEN et < coalesce(lag(et) OVER (PARTITION BY h.msg ORDER BY pos), pt) THEN 'below the term before' END AS reason FROM e JOIN h USING (msg))
+SELECT h.msg, min(pos) FILTER (WHERE reason IS NOT NULL) AS pos, coalesce(arg_min(reason, pos) FILTER (WHERE reason IS NOT NULL), 'none') AS reason FROM h LEFT JOIN r USING (msg) GROUP BY h.msg""",
+    "raft_valid_prefix": "SELECT event_id AS place, event_id + 1 AS idx FROM events WHERE event_id < 812 AND event_id + 1 > 100",
+    "raft_after_snapshot": _V("SELECT node, count(*) AS entries, min(idx) AS first_idx FROM rlog WHERE idx > 997 AND node IN (SELECT node FROM rlog WHERE idx = 997 AND term = 1) GROUP BY node", "rlog"),
+    "raft_quorum_check": _V("g AS (SELECT grp, count(*) FILTER (WHERE matched > 400 AND peer IN ('click', 'view', 'error')) AS a, count(*) FILTER (WHERE matched > 400 AND peer IN ('click', 'purchase', 'signup', 'missing')) AS b FROM matches GROUP BY grp) SELECT grp, CASE WHEN a >= 2 AND b >= 3 THEN 1 ELSE 0 END AS quorum FROM g", "matches"),
+    "raft_append_response": "WITH r AS (SELECT event_id, event_id + 5 AS nx, event_id - user_id % 9 AS m, event_type = 'error' AS rej, event_id + user_id % 4 AS acked, event_id - user_id % 40 AS hint FROM events) SELECT event_id, CASE WHEN rej THEN m ELSE greatest(m, acked) END AS match, CASE WHEN rej THEN greatest(1, least(nx, hint), m + 1) ELSE greatest(nx, greatest(m, acked) + 1) END AS next FROM r",
     "raft_contiguity": _V("l AS (SELECT * FROM rlog WHERE NOT (node = 2 AND idx = 500)) SELECT node, CASE WHEN (SELECT count(DISTINCT idx - r) FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS r FROM l y WHERE y.node = x.node)) = 1 THEN 1 ELSE 0 END AS contiguous, min(idx) AS first_idx, max(idx) AS last_idx, arg_max(term, idx) AS last_term FROM l x GROUP BY node", "rlog"),
     "raft_replication_lag": _V("SELECT grp, peer, max(matched) OVER (PARTITION BY grp) - matched AS lag FROM matches", "matches"),
-    "raft_role_transitions": _V("p AS (SELECT node, role, lag(role) OVER (PARTITION BY node ORDER BY tick) AS q FROM statuses) SELECT node, count(*) FILTER (WHERE role = 'candidate' AND q IS DISTINCT FROM 'candidate') AS elections, count(*) FILTER (WHERE role = 'leader' AND q IS DISTINCT FROM 'leader') AS won, count(*) FILTER (WHERE q = 'leader' AND role <> 'leader') AS lost FROM p GROUP BY node", "statuses"),
+    "raft_role_transitions": _V("p AS (SELECT node, role, lag(role) OVER (PARTITION BY node ORDER BY tick) AS q, term, lag(term) OVER (PARTITION BY node ORDER BY tick) AS qt FROM statuses) SELECT node, count(*) FILTER (WHERE role = 'candidate' AND q IS DISTINCT FROM 'candidate') AS elections, count(*) FILTER (WHERE role = 'leader' AND q IS DISTINCT FROM 'leader') AS won, count(*) FILTER (WHERE q = 'leader' AND role <> 'leader' AND qt = term) AS lost FROM p GROUP BY node", "statuses"),
     "raft_vote_grants": f"WITH {_VOTERS}, r AS (SELECT event_id AS candidate, 1 + event_id // 2500 AS lt, event_id % 5000 AS li FROM events WHERE event_id % 50 = 0) SELECT candidate, count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) AS granted, count(*) AS voters, CASE WHEN count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) >= 3 THEN 1 ELSE 0 END AS won FROM r, v GROUP BY candidate",
     "raft_membership_fold": """WITH c AS (SELECT event_id AS idx, CASE WHEN (event_id // 100) % 3 = 2 THEN 'leave' ELSE 'join' END AS kind, 'n' || CAST(user_id % 7 AS VARCHAR) AS peer FROM events WHERE event_id % 100 = 0),
 p AS (SELECT x.idx AS tick, y.peer, arg_max(y.kind, y.idx) AS kind FROM c x JOIN c y ON y.idx <= x.idx GROUP BY 1, 2)

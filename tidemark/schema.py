@@ -33,6 +33,7 @@ COMMAND = T.StructType(
 MAX_KEY_BYTES = 16 * 1024
 MAX_VALUE_BYTES = 4 * 1024 * 1024
 APPEND_CAP_BYTES = 1024 * 1024
+MAX_ENTRY_BYTES = 4 * 1024 * 1024 + 32 * 1024
 ENTRY_OVERHEAD_BYTES = 32
 BATCH_MAX_ENTRIES = 256
 BATCH_MAX_BYTES = 1024 * 1024
