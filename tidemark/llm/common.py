@@ -27,11 +27,11 @@ def hex_sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 0) -> Iterator[pa.RecordBatch]:
-    """The batches' rows in order, in slices whose column ``text`` has about SLICE_BYTES (a row is never cut)."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 0, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in order, in slices whose column ``text`` has about ``size`` bytes (a row is never cut)."""
     for b in batches:
         per_row = max(1, b.column(text).nbytes // max(1, b.num_rows))
-        step = max(1, SLICE_BYTES // per_row)
+        step = max(1, size // per_row)
         for at in range(0, b.num_rows, step):
             yield b.slice(at, step)
 

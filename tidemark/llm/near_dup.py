@@ -43,6 +43,8 @@ SIG_LONGS = HASHES * BITS // 64
 SIGMAS = 5.0
 #: Candidate documents whose ids are broadcast to filter the texts; with more, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
+#: Text bytes hashed at once; a Python worker holds some forty times as much meanwhile.
+SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -149,7 +151,7 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 1):
+    for b in slices(batches, 1, SLICE):
         n, d1, d2, bands, sigs, seen = [], [], [], [], [], {}
         for s in shingle_sets(b.column(1).to_pylist()):
             key = digest(s)
@@ -166,7 +168,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, 0):
+    for b in slices(batches, 0, SLICE):
         sets = shingle_sets(b.column(0).to_pylist())
         ok = [digest(s) == (x, y) for s, x, y in zip(sets, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
         made = pa.RecordBatch.from_arrays([b.column(1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
