@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set has its distinct five-word shingles, as 64-bit hashes; with
-fewer words the whole sequence is the one shingle. 384 minima of the set are
-taken. Six at a time they make 64 band keys, which bring candidates together; of
-each minimum the two low bits are kept, packed into longs, and similarity is
+fewer words the whole sequence is the one shingle. 1024 minima of the set are
+taken. Six at a time, the first 384 make 64 band keys, which bring candidates
+together; of each minimum the two low bits are kept, packed into longs, and similarity is
 estimated from counts of equal bit pairs, corrected for chance agreement (1/4).
 Candidates whose estimate is within five standard deviations of the threshold,
 or above, are confirmed on the full sets.
@@ -11,9 +11,11 @@ or above, are confirmed on the full sets.
 Equal sets are one class from the start. Within a band's bucket every class is
 paired with the first one alone, so that a bucket of any size gives a linear
 number of pairs. Links that this can miss lie between different components of a
-bucket: after the first components are known, buckets that still hold several
-have the pairs across components looked at, too (the estimate is part of the
-join's condition). A link with similarity 0.75 shares no band with a probability
+bucket: where a bucket still holds several, one member of each is tested against
+one of the first. Between the components that are left then, all pairs of
+members that hang together by buckets are looked at, in cells of bounded size
+that give links alone, and no more of them than join components (estimate first,
+then full sets). A link with similarity 0.75 shares no band with a probability
 of (1 - 0.75^6)^64 = 4e-6; every other link is found.
 
 Defined results: null text and text without words have the empty set and are
@@ -38,11 +40,13 @@ from .components import connected_components
 WORDS = 5
 THRESHOLD = (75, 100)  # links: 100 * intersection >= 75 * union
 BANDS, ROWS, BITS = 64, 6, 2
-HASHES = BANDS * ROWS
+HASHES = 1024  # the first BANDS * ROWS make the bands
 SIG_LONGS = HASHES * BITS // 64
 SIGMAS = 5.0
 #: Candidate documents whose ids are broadcast to filter the texts; with more, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
+#: Members of a family in one chunk; two chunks' sets are in memory at once.
+CHUNK = 512
 #: Text bytes hashed at once; a Python worker holds some forty times as much meanwhile.
 SLICE = 1 << 20
 
@@ -67,7 +71,7 @@ _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _A = (_random(HASHES, 2) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _B = (_random(HASHES, 3) >> _U(32)).astype(np.uint32)
-_ROWS_AT_ONCE = 256
+_ROWS_AT_ONCE = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -88,8 +92,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[max(_powers)]
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """For each text its distinct shingle hashes, sorted."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all texts' words in order, and for each text where its words begin and end among them.
+
+    Words are runs of anything but ASCII white space, with A-Z lower-cased. A word's hash is a difference of
+    prefix sums of (byte's random number * P^position), divided by P^(the word's position), mixed."""
     raw = [(t or "").encode().lower() for t in texts]  # bytes.lower() touches A-Z alone
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = _SPACE[buf]
@@ -99,8 +106,12 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=np.uint64)))
     word = _mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))
     ends = np.cumsum([len(r) + 1 for r in raw])
-    first = np.searchsorted(low, np.concatenate(([0], ends[:-1])))
-    last = np.searchsorted(low, ends)
+    return word, np.searchsorted(low, np.concatenate(([0], ends[:-1]))), np.searchsorted(low, ends)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """For each text its distinct shingle hashes, sorted."""
+    word, first, last = word_hashes(texts)
     rolled = np.zeros(len(word), np.uint64)
     if len(word) >= WORDS:
         n = len(word) - WORDS + 1
@@ -132,7 +143,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64)
     for k in range(ROWS):
         h = _mix(h * _U(_Q) + rows[:, k])
@@ -163,8 +174,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d2.append(key[1])
             bands.append(seen[key][0])
             sigs.append(seen[key][1])
-        cols = [b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "d1", "d2", "bands", "sig"])
+        cols = [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_key", "n", "d1", "d2", "bands", "sig"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +198,38 @@ def estimate(a: Column, b: Column) -> Column:
     return ((1.0 - differ / float(HASHES)) - chance) / (1.0 - chance)
 
 
+def _links_in_cell(cell: pa.Table) -> pa.Table:
+    """Links between the components of a cell's members, by full sets, until no two linked ones are apart."""
+    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    mine, node, n = (cell.column(c).to_numpy() for c in ("mine", "node", "n"))
+    group = cell.column("label").to_numpy().copy()
+    sig = cell.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), SIG_LONGS)
+    full = cell.column("shingles").combine_chunks()
+    sets = [full[k].values.to_numpy().view(np.uint64) for k in range(len(node))]
+    least, chance = least_estimate(), 2.0**-BITS
+    found = []
+    for a in range(len(node) - 1):
+        rest = slice(a + 1, None)
+        near = np.minimum(n[rest], n[a]) * THRESHOLD[1] >= np.maximum(n[rest], n[a]) * THRESHOLD[0]
+        near &= group[rest] != group[a]
+        if i != j:
+            near &= mine[rest] != mine[a]
+        at = np.flatnonzero(near) + a + 1
+        if len(at):
+            x = sig[at] ^ sig[a]
+            differ = np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555)).sum(axis=1)
+            score = ((1.0 - differ / HASHES) - chance) / (1.0 - chance)
+            order = np.argsort(-score, kind="stable")
+            for b in at[order[score[order] >= least]].tolist():
+                if group[b] == group[a]:
+                    continue
+                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if common * THRESHOLD[1] >= (len(sets[a]) + len(sets[b]) - common) * THRESHOLD[0]:
+                    found.append((int(node[a]), int(node[b])))
+                    group[group == group[b]] = group[a]
+    return pa.table({"u": pa.array([f[0] for f in found], pa.int64()), "v": pa.array([f[1] for f in found], pa.int64())})
+
+
 def least_estimate() -> float:
     j, chance = THRESHOLD[0] / THRESHOLD[1], 2.0**-BITS
     p = j + (1 - j) * chance
@@ -203,8 +246,9 @@ class _Linker:
 
     def __init__(self, docs: DataFrame) -> None:
         self.docs, self.spark = docs.select("doc_id", "text"), docs.sparkSession
+        keyed = self.docs.withColumn("_key", F.xxhash64("doc_id", "text"))
         self.tables: list[Table] = []
-        self.rows = self.written(arrow_map(self.docs, _sketch, "doc_id " + dict(docs.dtypes)["doc_id"] + ", n long, d1 long, d2 long, bands array<long>, sig array<long>"), "rows")
+        self.rows = self.written(arrow_map(keyed, _sketch, "doc_id " + dict(docs.dtypes)["doc_id"] + ", _key long, n long, d1 long, d2 long, bands array<long>, sig array<long>"), "rows")
         firsts = [F.first(c).alias(c) for c in ("n", "bands", "sig")]
         self.classes = self.written(self.rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), *firsts).withColumn("node", F.monotonically_increasing_id()), "classes")
 
@@ -227,7 +271,7 @@ class _Linker:
 
     def sets(self, pairs: DataFrame) -> DataFrame:
         """The full sets of the classes in ``pairs``."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         wanted = self.written(self.classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2").join(nodes, "node", "left_semi"), "wanted")
         few = wanted.count() <= BROADCAST_ROWS
         texts = self.docs.alias("t").join(F.broadcast(wanted) if few else wanted, self.docs["doc_id"].eqNullSafe(wanted["doc_id"])).select("text", "node", "d1", "d2")
@@ -247,58 +291,124 @@ class _Linker:
         return frame.join(labels.select(F.col("node").alias(node), F.col("label").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
 
     def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        return self.labelled(self.labelled(pairs, labels, "a", "la"), labels, "b", "lb").filter("la != lb").drop("la", "lb")
+        return self.labelled(self.labelled(pairs, labels, "a", "la"), labels, "b", "lb").filter("la != lb")
 
-    def across(self, labels: DataFrame, known: DataFrame) -> DataFrame:
-        """Likely pairs of different components within a bucket, but for those known."""
-        members = self.written(self.labelled(self.members.select("key", "node"), labels, "node", "label"), "labelled")
+    def open_buckets(self, labels: DataFrame) -> DataFrame:
+        """Members (key, node, label, n, sig) of the buckets that hold several components."""
+        members = self.labelled(self.members.select("key", "node"), labels, "node", "label")
+        members = self.written(members, "labelled")
         split = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
-        held = members.join(split, "key").join(self.classes.select("node", "n", "sig"), "node")
-        a = held.select("key", *[F.col(c).alias(f"a{'_' * (c != 'node') + c * (c != 'node')}") for c in ("node", "label", "n", "sig")])
-        b = held.select("key", *[F.col(c).alias(f"b{'_' * (c != 'node') + c * (c != 'node')}") for c in ("node", "label", "n", "sig")])
-        on = (a["key"] == b["key"]) & (F.col("a_label") < F.col("b_label")) & _likely("a", "b")
-        found = a.join(b, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return self.written(found.join(known.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        return self.written(members.join(split, "key").join(self.classes.select("node", "n", "sig"), "node"), "open")
+
+    def rivals(self, held: DataFrame, seed: int) -> DataFrame:
+        """For each bucket and component one member, another with each seed, paired with that of the bucket's first component."""
+        one = F.min_by(F.struct("node", "n", "sig"), F.xxhash64("node", F.lit(seed))).alias("m")
+        each = held.groupBy("key", "label").agg(one)
+        lead = each.groupBy("key").agg(F.min_by("m", "label").alias("l"), F.min("label").alias("first"))
+        met = each.join(lead, "key").filter("label != first").select(*[F.col(f"l.{c}").alias(f"a{'_' * (c != 'node') + c * (c != 'node')}") for c in ("node", "n", "sig")], *[F.col(f"m.{c}").alias(f"b{'_' * (c != 'node') + c * (c != 'node')}") for c in ("node", "n", "sig")])
+        return self.likely_pairs(met)
+
+    def remaining(self, held: DataFrame) -> DataFrame:
+        """Links (u, v) between components that share a bucket, enough to join them. Members that hang together by
+        buckets are a family; a family is dealt to chunks, and each two chunks meet in one cell of bounded size,
+        where every pair of different components is looked at once."""
+        lead = held.groupBy("key").agg(F.min("node").alias("v"))
+        family = connected_components(held.join(lead, "key").select(F.col("node").alias("u"), "v"))
+        nodes = self.labelled(held.select("node", "label", "n", "sig").dropDuplicates(["node"]), family, "node", "family")
+        nodes = self.written(nodes, "apart")
+        sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+        chunks = F.ceil(F.col("size") / CHUNK)
+        mine = F.pmod(F.xxhash64("node"), chunks).alias("mine")
+        dealt = nodes.join(sizes, "family").select("node", "label", "n", "sig", "family", chunks.alias("chunks"), mine)
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
+        sets = self.sets(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        full = dealt.join(sets, "node").select("*", F.explode(cells).alias("c")).select("family", "c.i", "c.j", "mine", "node", "label", "n", "sig", "shingles")
+        return self.written(full.groupBy("family", "i", "j").applyInArrow(_links_in_cell, "u long, v long"), "found")
+
+    def likely_pairs(self, met: DataFrame) -> DataFrame:
+        pairs = met.filter(_likely("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), estimate(F.col("a_sig"), F.col("b_sig")).alias("likeness"))
+        return self.written(pairs.distinct(), "pairs")
+
+    def settle(self, pairs: DataFrame, by: list[Column] | None = None) -> None:
+        """Tests the ``pairs`` (a, b, likeness) that lie between different components; given ``by``, the likeliest of
+        each group first, and then those that still do."""
+        rest = self.written(self.apart(pairs, self.found), "rest")
+        if by and not rest.isEmpty():
+            best = rest.groupBy(*by).agg(F.max_by(F.struct("a", "b"), F.struct("likeness", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+            best = self.written(best, "best")
+            self.link(best)
+            rest = self.written(self.apart(rest.drop("la", "lb"), self.found).join(best, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            self.link(rest)
+
+    def link(self, pairs: DataFrame) -> None:
+        """Adds the links among ``pairs`` and finds the components anew, from those there are."""
+        self.link_all(self.confirmed(pairs))
+
+    def link_all(self, links: DataFrame) -> None:
+        if not links.isEmpty():
+            known = self.found.select(F.col("node").alias("u"), F.col("label").alias("v"))
+            self.found = connected_components(known.union(links))
 
     def labels(self) -> DataFrame:
         """node and label of every class that is linked to a smaller one."""
-        pairs = self.first_pairs()
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a")).select("a", "b")
-        links = self.confirmed(self.written(best, "best"))
-        found = connected_components(links)
-        rest = self.written(self.apart(pairs.select("a", "b"), found).join(best, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = links.union(self.confirmed(rest))
-            found = connected_components(links)
-        across = self.across(found, pairs)
-        if not across.isEmpty():
-            links = links.union(self.confirmed(across))
-            found = connected_components(links)
-        return found
+        self.found = self.spark.createDataFrame([], "node long, label long")
+        self.settle(self.first_pairs(), [F.col("b")])
+        held = self.open_buckets(self.found)
+        if not held.isEmpty():
+            self.settle(self.rivals(held, 1))
+            held = self.open_buckets(self.found)
+        if not held.isEmpty():
+            self.link_all(self.remaining(held))
+        return self.found
 
     def result(self) -> DataFrame:
         nodes = self.labelled(self.classes.select("node", "rep", "d1", "d2"), self.labels(), "node", "label")
         nodes = self.written(nodes, "labels")
         least = nodes.groupBy("label").agg(F.min("rep").alias("component_id"))
         by_class = nodes.join(least, "label").select("d1", "d2", "component_id")
-        rows = self.rows.select("doc_id", "n", "d1", "d2")
-        linked = rows.filter("n > 0").join(by_class, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return linked.union(rows.filter("n = 0").select("doc_id", F.col("n"), F.col("doc_id").alias("c"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rows = self.rows.select("doc_id", "_key", "n", "d1", "d2")
+        linked = rows.filter("n > 0").join(by_class, ["d1", "d2"]).select("doc_id", "_key", F.col("n").alias("n_shingles"), "component_id")
+        return linked.union(rows.filter("n = 0").select("doc_id", "_key", "n", F.col("doc_id").alias("c"))).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
     def drop(self) -> None:
         for t in self.tables:
             t.drop()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row. Runs when called; the result is read from the
-    shared checkpoint folder."""
+def _components(docs: DataFrame) -> DataFrame:
     linker = _Linker(docs)
     out = cut(linker.result())
     linker.drop()
     return out
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row. Runs when called; the result is read from the
+    shared checkpoint folder."""
+    return _components(docs).drop("_key")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns and one row of each component; rows without words all stay."""
+    found = _components(docs)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_key").distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_k"))
+    gone = F.broadcast(gone) if few else gone
+    rows = rows.join(gone, (rows["_k"] == gone["_key"]) & rows["_row.doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0))
+    total = kept.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct(F.coalesce("component_id", F.lit(-1)), F.col("component_id").isNull())).alias("groups")).first()
+    if total["n"] > total["groups"]:  # equal ids: rows of one id and component are all its first
+        wordless = F.length(F.trim(F.translate(F.coalesce("_row.text", F.lit("")), "\t\n\x0b\f\r", "     "))) == 0
+        groups = kept.select(F.col("doc_id").alias("_id"), "_key", "component_id").distinct()
+        first = groups.groupBy("component_id").agg(F.min("_key").alias("_key")).select(F.col("component_id").alias("_id"), "_key")
+        some = rows.filter(~wordless)
+        some = some.join(first, (some["_k"] == first["_key"]) & some["_row.doc_id"].eqNullSafe(first["_id"])).select(some["_row"], some["_k"])
+        rows = some.groupBy("_k", "_row.doc_id").agg(F.first("_row").alias("_row")).select("_row").union(rows.filter(wordless).select("_row"))
+    return rows.select("_row.*")
+
+
 # --- the registered query -------------------------------------------------
 
 
