@@ -2,7 +2,8 @@
 
 Everything stays distributed: a step is an aggregation with map-side combining
 and a join that adaptive execution can split where a hub is hot. Each round is
-cut to the shared checkpoint folder. (Kiveris et al., "Connected Components in
+written to the shared folder, which cuts the lineage, and read in as few parts as
+its size asks for. (Kiveris et al., "Connected Components in
 MapReduce and Beyond".)
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Table
 
 MAX_ROUNDS = 100
 
@@ -21,23 +22,28 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """``edges`` has long columns u and v. Returns node and label (the smallest node of its component) for every
-    node that has an edge to another and isn't itself the smallest."""
-    e = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = _state(e)
+    node that has an edge to another and isn't itself the smallest. The table that holds the result is added to
+    ``tables``, to be dropped after use."""
+    held = Table(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = _state(held.df)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
+        e = held.df
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
-        state, before = _state(e), state
+        held, old = Table(small, "edges"), held
+        old.drop()
+        state, before = _state(held.df), state
         if state == before:
             break
     else:
         raise RuntimeError("components did not settle")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    if tables is not None:
+        tables.append(held)
+    return held.df.select(F.col("u").alias("node"), F.col("v").alias("label"))

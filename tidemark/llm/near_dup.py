@@ -313,7 +313,7 @@ class _Linker:
         buckets are a family; a family is dealt to chunks, and each two chunks meet in one cell of bounded size,
         where every pair of different components is looked at once."""
         lead = held.groupBy("key").agg(F.min("node").alias("v"))
-        family = connected_components(held.join(lead, "key").select(F.col("node").alias("u"), "v"))
+        family = connected_components(held.join(lead, "key").select(F.col("node").alias("u"), "v"), self.tables)
         nodes = self.labelled(held.select("node", "label", "n", "sig").dropDuplicates(["node"]), family, "node", "family")
         nodes = self.written(nodes, "apart")
         sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
@@ -348,7 +348,7 @@ class _Linker:
     def link_all(self, links: DataFrame) -> None:
         if not links.isEmpty():
             known = self.found.select(F.col("node").alias("u"), F.col("label").alias("v"))
-            self.found = connected_components(known.union(links))
+            self.found = connected_components(known.union(links), self.tables)
 
     def labels(self) -> DataFrame:
         """node and label of every class that is linked to a smaller one."""
