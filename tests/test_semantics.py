@@ -36,6 +36,12 @@ def test_running_functions_do_not_depend_on_blocks(spark, block):
             top, last = v if top is None else max(top, v), v
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 1, 5), (None, 2, 7), ("a", 3, 1)], "g string, id long, v long")
+    got = {r["id"]: (r["m"], r["prev_v"], r["s"]) for r in running_sum(previous(before_max(df, ["g"], "id", "v", "m", 2), ["g"], "id", ["v"], 2), ["g"], "id", "v", "s", 2).collect()}
+    assert got == {1: (None, None, 5), 2: (5, 5, 12), 3: (None, None, 1)}
+
+
 def test_delayed_retry(spark):
     rows = [(2, "c", 1, "k", "one", "put"), (3, "c", 2, "k", "two", "put"), (4, "c", 1, "k", "one", "put"), (5, "d", 5, "k", "v1", "put"), (6, "d", 5, "k", "again", "put")]
     df = spark.createDataFrame(rows, "idx long, client_id string, request_seq long, key string, value string, operation string")

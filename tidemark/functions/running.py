@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 BLOCK = 1_000_000
 
 
+def _with_prefix(held: DataFrame, prefix: DataFrame, on: list[str], *columns: str) -> DataFrame:
+    """``held`` with columns of ``prefix``; null groups are groups, too."""
+    right = prefix.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], *columns)
+    cond = F.lit(True)
+    for i, c in enumerate(on):
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r{i}"))
+    return held.join(right, cond).select(*held.columns, *columns)
+
+
 def before_max(df: DataFrame, group: list[str], order: str, value: str, into: str, block: int = BLOCK) -> DataFrame:
     """``into``: the largest ``value`` of the group's rows before this one (null for the first)."""
     held = df.withColumn("_block", F.floor(F.col(order) / block))
@@ -21,7 +30,7 @@ def before_max(df: DataFrame, group: list[str], order: str, value: str, into: st
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_block.select(*group, "_block", F.max("_m").over(earlier).alias("_before"))
     inner = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = held.join(prefix, [*group, "_block"])
+    joined = _with_prefix(held, prefix, [*group, "_block"], "_before")
     return joined.withColumn(into, F.greatest(F.max(value).over(inner), F.col("_before"))).drop("_block", "_before")
 
 
@@ -33,7 +42,7 @@ def previous(df: DataFrame, group: list[str], order: str, columns: list[str], bl
     by_block = Window.partitionBy(*group).orderBy("_block")
     edges = per_block.select(*group, "_block", F.lag("_l").over(by_block).alias("_edge"))
     inner = Window.partitionBy(*group, "_block").orderBy(order)
-    out = held.join(edges, [*group, "_block"])
+    out = _with_prefix(held, edges, [*group, "_block"], "_edge")
     first = F.row_number().over(inner) == 1
     return out.withColumns({f"prev_{c}": F.when(first, F.col("_edge")[c]).otherwise(F.lag(c).over(inner)) for c in columns}).drop("_block", "_edge")
 
@@ -45,5 +54,5 @@ def running_sum(df: DataFrame, group: list[str], order: str, value: str, into: s
     earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     prefix = per_block.select(*group, "_block", F.sum("_s").over(earlier).alias("_before"))
     inner = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = held.join(prefix, [*group, "_block"])
+    joined = _with_prefix(held, prefix, [*group, "_block"], "_before")
     return joined.withColumn(into, F.sum(value).over(inner) + F.coalesce("_before", F.lit(0))).drop("_block", "_before")
