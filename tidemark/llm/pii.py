@@ -169,3 +169,50 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     found, _ = find_personal_data(table(spark, sf_dir, "documents"))
     base = F.col("base")
     return found.select("doc_id", *[S.count(base, k).alias(f"n_{k}") for k in BASE_KINDS], F.sha2(S.written(base), 256).alias("base_sha256"), S.written(S.ordered(F.col("spans"), KINDS, True)).alias("spans"))
+
+
+def _oracle(limits: Limits = Limits()) -> str:
+    from . import span_sql as Q
+
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    doubled = "CASE WHEN i % 2 = 1 THEN x ELSE CASE WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END END"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: {doubled.replace('x', f'CAST(substr(reverse({digits}), i, 1) AS INT)')})) % 10 = 0"
+    plain = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        "ip": (r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max(list_transform(string_split(m, '.'), lambda x: CAST(x AS HUGEINT))) <= 255"),
+        "card": (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) BETWEEN 9 AND 15"),
+    }
+    terms = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '\\p{{L}}+')), lambda w: length(w) >= {limits.letters})"
+    n = limits.reach
+    base = " UNION ALL ".join(f"SELECT * FROM f_{k}" for k in BASE_KINDS)
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    counts = ", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)
+    order = f"{Q.place(KINDS)}, s"
+    return (
+        f"WITH {Q.DOCS},\n"
+        + ",\n".join(Q.found(f"f_{k}", k, p, where) for k, (p, where) in plain.items())
+        + f""",
+b AS ({base}),
+near AS (SELECT r, lower(m) AS entity, substr(t, greatest(s - {n}, 0) + 1, least(s, {n})) AS lft, substr(t, e + 1, {n}) AS rgt FROM b JOIN d USING (r)),
+seen AS (SELECT r, entity, regexp_extract(lft, '(?:\\S+\\s+){{0,3}}$') || regexp_extract(rgt, '^(?:\\s+\\S+){{0,3}}') AS context, unnest({terms("lft || ' ' || rgt")}) AS term FROM near),
+pairs AS (SELECT entity, term FROM seen GROUP BY entity, term HAVING count(DISTINCT context) >= {limits.contexts}),
+occur AS (SELECT r, term FROM (SELECT r, unnest({terms("t")}) AS term FROM d WHERE (SELECT count(*) FROM pairs) > 0) WHERE term IN (SELECT term FROM pairs)),
+held AS (SELECT DISTINCT r, lower(m) AS entity FROM b WHERE lower(m) IN (SELECT entity FROM pairs)),
+n_t AS (SELECT term, count(*) AS n_term FROM occur GROUP BY term),
+n_e AS (SELECT entity, count(*) AS n_entity FROM held GROUP BY entity),
+n_b AS (SELECT p.entity, p.term, count(*) AS n_both FROM held h JOIN pairs p USING (entity) JOIN occur o ON o.r = h.r AND o.term = p.term GROUP BY p.entity, p.term),
+told AS (SELECT term, max(n_both / n_term) AS share FROM n_b JOIN n_t USING (term) JOIN n_e USING (entity)
+  WHERE n_both / n_term >= {limits.share} AND log2(n_both / n_term * (SELECT count(*) FROM d) / n_entity) >= {limits.bits} GROUP BY term),
+hit AS (SELECT r, doc_id, t FROM d WHERE r IN (SELECT r FROM occur WHERE term IN (SELECT term FROM told))),
+{Q.found("f_word", "term", "\\p{L}+", source="hit")},
+extra AS (SELECT w.r, CASE WHEN share >= {limits.remove} THEN 'drop' ELSE 'term' END AS kind, w.s, w.e, w.m FROM f_word w JOIN told ON lower(w.m) = told.term
+  WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = w.r AND w.s < b.e AND b.s < w.e)),
+a AS (SELECT * FROM b UNION ALL SELECT * FROM extra),
+gb AS (SELECT r, {sums}, {Q.joined(order)} AS base FROM b GROUP BY r),
+ga AS (SELECT r, {Q.joined(order)} AS spans FROM a GROUP BY r)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN gb USING (r) LEFT JOIN ga USING (r)"""
+    )
+
+
+ORACLE = _oracle()

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": url_filter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_near_dup": near_dup.ORACLE}
+    return {"op1_url_filter": url_filter.ORACLE, "op3_decontaminate": decontaminate.ORACLE, "op5_near_dup": near_dup.ORACLE, "op9_pii": pii.ORACLE, "op10_secrets": secrets.ORACLE}

@@ -201,3 +201,36 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     found, _ = scan(table(spark, sf_dir, "documents"))
     base = F.col("base")
     return found.select("doc_id", *[S.count(base, r.kind).alias(f"n_{r.kind}") for r in BASE], F.sha2(S.written(base), 256).alias("base_sha256"), S.written(F.col("spans")).alias("spans"))
+
+
+def _oracle() -> str:
+    from . import span_sql as Q
+
+    key = "(?i:password|passwd|secret|token|api_?key)"
+    head = key + r"""["']?\x20*[:=]\x20*["']?"""
+    value = "[A-Za-z0-9+/_.=-]+"
+    quoted = head.replace("'", "''")
+    plain = {
+        "assign": (head + value, f"length(regexp_extract(m, '^{quoted}({value})$', 1)) >= 12"),
+        "access": ("AKIA[A-Z0-9]+", "length(m) >= 18"),
+        "hex": ("[0-9a-f]{16,}", "true"),
+        "private": ("-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----", "true"),
+        "code_host": ("gh[pousr]_[A-Za-z0-9]{36,}", "true"),
+        "chat": ("xox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+        "jwt": (r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "true"),
+    }
+    kinds = list(plain)
+    order = f"s, {Q.place(kinds)}"
+    base = ", ".join(f"'{r.kind}'" for r in BASE)
+    every = " UNION ALL ".join(f"SELECT * FROM f_{k}" for k in kinds)
+    sums = ", ".join(f"count(*) FILTER (WHERE kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    counts = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)
+    return (
+        f"WITH {Q.DOCS},\n"
+        + ",\n".join(Q.found(f"f_{k}", k, p, where) for k, (p, where) in plain.items())
+        + f",\na AS ({every}),\ng AS (SELECT r, {sums}, {Q.joined(order)} FILTER (WHERE kind IN ({base})) AS b, {Q.joined(order)} AS spans FROM a GROUP BY r)\n"
+        + f"SELECT doc_id, {counts}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"
+    )
+
+
+ORACLE = _oracle()
