@@ -148,3 +148,27 @@ def test_pipeline(spark, sf):
     texts = dict(kept[3].select("doc_id", "text").collect())
     for r in kept[4].collect():
         assert r["ids"] == c.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated rows, names that operators use themselves, and no rows."""
+    pytest.importorskip("public_tokenizers")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, f"some words of the usual kind number {i} and a few more", "en", "s", 1) for i in range(20)]
+    rows += [(None, None, None, None, None), (100, None, "en", "s", 0), (101, "", "en", "s", 0), (102, "wort " * 30_000, "de", "s", 5), (103, "mail me@example.com now please, it is urgent", None, "s", 3), (103, "mail me@example.com now please, it is urgent", None, "s", 3), (104, "x" * 100_000, "en", "s", 2)]
+    extra = ["_row", "score", "a.b", "node", "_key", "ids", "_words", "kept"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.lit(k).alias(c) for k, c in enumerate(extra)])
+    spark.createDataFrame([(1, None), (None, "of the usual kind number 3 and a few more"), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (df, df.limit(0)):
+        for k, (_, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < len(pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            kept = out.collect()
+            docs = spark.createDataFrame(kept, out.schema)
+        if k and docs.columns:
+            assert docs.filter("NOT round_trip").count() == 0
+    stage = dict(pipeline.STAGES)["MinHash near-dedup"]
+    left = [r["doc_id"] for r in stage(spark, df, str(tmp_path)).collect()]
+    assert left.count(103) == 1 and left.count(100) == left.count(101) == 1 and left.count(None) == 1

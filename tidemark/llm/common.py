@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
-import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes handled at once by a Python worker; an Arrow batch is cut into slices of about this size.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch, unless the session says otherwise.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,10 +64,24 @@ def ship_library(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand on the executors."""
+def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand on the executors. Batches of 10,000 rows, Spark's default, are too
+    large for long texts: a session that has that setting gets BATCH_ROWS."""
     ship_library(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    if df.sparkSession.conf.get(_BATCH, "10000") == "10000":
+        df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()  # a worker is used again, maybe for something else
+
+    return df.mapInArrow(run, schema)
+
+
+def extended(columns: DataFrame, more: str) -> T.StructType:
+    """The schema of ``columns``, all nullable, followed by the columns ``more`` (DDL)."""
+    own = [T.StructField(f.name, f.dataType, True) for f in columns.schema.fields]
+    return T.StructType([*own, *(T.StructType.fromDDL(more).fields if more else [])])
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -87,6 +104,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that none can clash with what an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 class Table:
     """A frame written as Parquet to the shared folder; dropped with ``drop``.
 
@@ -109,6 +131,3 @@ class Table:
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(conf).delete(p, True)
 
-
-def python_executable() -> str:
-    return sys.executable

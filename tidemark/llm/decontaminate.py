@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, table
+from .common import arrow_map, extended, slices, table
 
 WINDOW = 10
 #: Benchmark words in one automaton.
@@ -206,11 +206,11 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = docs.sparkSession
     cols = docs.columns
     at = cols.index("text")
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    kinds = extended(docs, "n_words long, hit_from array<int>, hit_to array<int>, items array<string>")
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_from": F.array().cast("array<int>"), "hit_to": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     held = [spark.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
     for auto in held or [spark.sparkContext.broadcast(Automaton([], window))]:
-        out = arrow_map(out, _scanner(auto, at, len(cols)), f"{kinds}, n_words long, hit_from array<int>, hit_to array<int>, items array<string>")
+        out = arrow_map(out, _scanner(auto, at, len(cols)), kinds)
     return out
 
 
@@ -261,8 +261,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     ``max_coverage`` of their words go. As a cut joins what stood apart, texts are scanned again until nothing
     is hit; clean documents come through unchanged, byte for byte."""
     names = docs.columns
-    row = docs.select("text", F.struct(*[F.col(c) for c in names]).alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in row.dtypes)
+    rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
+    row = docs.select("text", rest.alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"))
+    kinds = extended(row, "")
     shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
     for auto in shared * min(2, len(shared)):  # a cut for one block may join words that an earlier block has
         row = arrow_map(row, _cutter(auto, 0, 2), kinds)

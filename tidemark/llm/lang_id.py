@@ -23,20 +23,22 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log
+from math import log
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_map, slices, table
+from .common import Table, arrow_map, extended, slices, table, whole_row
 
 #: Labelled rows that a language is learned from, about.
 ROWS_PER_LANG = 300
 ITERATIONS = 3
 #: Words remembered by a Python worker.
-REMEMBER = 400_000
+REMEMBER = 300_000
 #: Probability of a character that no piece covers, and what is added to every expected count.
 UNKNOWN = 1e-7
 SMOOTH = 0.05
@@ -70,21 +72,15 @@ class Model:
     def __init__(self, langs: list[str], pieces: dict[str, tuple[float, ...]]) -> None:
         self.langs, self.pieces = langs, pieces
         self.longest = max(map(len, pieces), default=1)
-        self.cache: dict[str, tuple[float, ...]] = {}
+        self.rows: dict[str, int] = {}  # remembered words, and their rows in the table
+        self.table = np.empty((REMEMBER, len(langs)))
         self.unknown = (UNKNOWN,) * len(langs)
         self.prefixes: dict[str, tuple[float, ...]] = {p[:k]: () for p in pieces for k in range(1, len(p))}
         self.prefixes.update(pieces)
 
     def word(self, word: str) -> tuple[float, ...]:
         """Log probability of the word in each language, over all segmentations."""
-        found = self.cache.get(word)
-        if found is None:
-            found = self._arcs(MARK + word) if len(word) <= SHORT else self._forward(MARK + word)
-            if len(word) <= SHORT:
-                if len(self.cache) >= REMEMBER:
-                    self.cache.clear()
-                self.cache[word] = found
-        return found
+        return self._arcs(MARK + word) if len(word) <= SHORT else self._forward(MARK + word)
 
     def _arcs(self, w: str) -> tuple[float, ...]:
         """The forward sums of a word short enough not to underflow: its pieces are found once, by walking the
@@ -141,25 +137,34 @@ class Model:
             sums[i % ring] = list(zero)
         return tuple(log(x) + shift if x > 0 else shift - 700.0 for x in sums[n % ring])
 
-    def scores(self, text: str) -> list[float] | None:
+    def scores(self, text: str) -> np.ndarray | None:
         """Each language's log probability, or None where there is no letter."""
         counts = Counter(find_words(text.lower()))
         if not counts or not self.langs:
             return None
-        k = len(self.langs)
-        total = [0.0] * k
+        rows, table, total = self.rows, self.table, np.zeros(len(self.langs))
+        if len(rows) + len(counts) > REMEMBER:
+            rows.clear()  # the common ones are soon back
+        at, times = [], []
         for w, n in counts.items():
-            p = self.word(w)
-            for a in range(k):
-                total[a] += n * p[a]
-        return total
+            row = rows.get(w)
+            if row is None:
+                row = len(rows)
+                if len(w) > SHORT or row >= REMEMBER:
+                    total += n * np.array(self.word(w))
+                    continue
+                table[row] = self.word(w)
+                rows[w] = row
+            at.append(row)
+            times.append(n)
+        return total + np.array(times, float) @ table[at] if at else total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total = self.scores(text) if text else None
         if total is None:
             return "und", 0.0
-        best = max(range(len(total)), key=total.__getitem__)
-        return self.langs[best], 1.0 / sum(exp(max(-745.0, x - total[best])) for x in total)
+        best = int(np.argmax(total))
+        return self.langs[best], float(1.0 / np.exp(np.maximum(total - total[best], -745.0)).sum())
 
 
 def expected_counts(word: str, n: int, probs: dict[str, float], longest: int, into: dict[str, float]) -> None:
@@ -244,15 +249,20 @@ def learn(labelled: DataFrame, path: str | None = None, rows_per_lang: int = ROW
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; no shuffle. The model has one number for each language and piece."""
-    at, names = docs.columns.index(text), docs.columns
+    """``docs`` with lang_pred and score; no shuffle. The model has one number for each language and piece. ``text`` may
+    be a field of a struct, as in ``row.text``."""
+    first, *inner = text.split(".")
+    at, names = docs.columns.index(first), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces))
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "lang_pred string, score double"])
+    kinds = extended(docs, "lang_pred string, score double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)
         for b in slices(batches, at):
-            got = [m.predict(t) for t in b.column(at).to_pylist()]
+            texts = b.column(at)
+            for f in inner:
+                texts = pc.struct_field(texts, f)
+            got = [m.predict(t) for t in texts.to_pylist()]
             cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, "lang_pred", "score"])
 
@@ -274,8 +284,8 @@ def trained(docs: DataFrame, **limits) -> Model:
 def known_language(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language can't be told: those without letters, and those whose best
     language has a score below ``least``."""
-    row = docs.select("text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return identify(row, trained(docs)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    row = docs.select(whole_row(docs).alias("_row"))
+    return identify(row, trained(docs), "_row.text").filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
 
 def op6_lang_id(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import Table, table
+from .common import Table, table, whole_row
 
 # The kinds, in the order in which they are listed.
 BASE_KINDS = ["email", "ip", "card", "phone"]
@@ -154,7 +154,7 @@ def sanitise(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``docs`` with the same columns: found strings and disclosing terms are replaced by their kind in brackets,
     or left out (kind ``drop``). Texts without spans, null ones too, stay as they are. Runs when called."""
     names = docs.columns
-    kept = F.struct(*[F.col(c) for c in names]).alias("_row")
+    kept = whole_row(docs).alias("_row")
     found, tables = find_personal_data(docs.select("doc_id", "text", kept), limits, also=("_row",))
     made = F.regexp_replace(S.replaced(F.col("text"), F.col("spans")), r"\x20?\[DROP\]", "")
     new = F.when(F.size("spans") > 0, made).otherwise(F.col("_row.text"))
