@@ -25,21 +25,23 @@ import base64
 from collections.abc import Iterator, Sequence
 from hashlib import sha256
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices, table
+from .common import arrow_map, extended, slices, table
 
 WIDTH = 256
 #: Pre-tokens of up to so many bytes keep their buckets as bitmaps of positions, longer ones as heaps.
 SHORT = 64
 _AFTER, _BEFORE = list(range(1, SHORT + 2)), list(range(-1, SHORT + 1))
 #: Pre-tokens remembered by a Python worker, about 250 bytes each.
-REMEMBER = 600_000
+REMEMBER = 400_000
+#: Of them, those that are kept when there are too many, and by an idle worker.
+KEEP = 100_000
 
 
 class RankQueue:
@@ -96,7 +98,7 @@ class Codec(dict):
         ids = self.encode_piece(piece.encode())
         if len(piece) <= SHORT:
             if len(self) >= REMEMBER:
-                self.clear()  # the common ones are soon back
+                self.rest()
             self[piece] = ids
         return ids
 
@@ -222,6 +224,13 @@ class Codec(dict):
             i = j
         return tuple(out)
 
+    def rest(self) -> None:
+        """Keeps the pre-tokens that were met first, which are the common ones."""
+        if len(self) > KEEP:
+            kept = dict(islice(self.items(), KEEP))
+            self.clear()
+            self.update(kept)
+
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
@@ -255,20 +264,26 @@ def default_vocabulary() -> tuple[str, str]:
     return p.path("byte_bpe_multi_50k.tiktoken"), p.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with an array column of token ids; no shuffle. The vocabulary file must be on every executor."""
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", into: str = "ids", check: str | None = None) -> DataFrame:
+    """``docs`` with an array column of token ids; no shuffle. With ``check`` a boolean column of that name, too: whether
+    the ids decode to the text. The vocabulary file must be on every executor."""
     default = default_vocabulary() if path is None or pattern is None else (path, pattern)
     at, names = docs.columns.index(text), docs.columns
-    if into in names:
-        raise ValueError(f"there is a column {into} already")
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{into}` array<int>"])
+    if {into, check} & set(names):
+        raise ValueError(f"there is a column {into} or {check} already")
+    kinds = extended(docs, f"`{into}` array<int>" + (f", `{check}` boolean" if check else ""))
     use = (path or default[0], pattern or default[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*use)
         for b in slices(batches, at):
-            ids = pa.array([c.encode(t or "") for t in b.column(at).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*names, into])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            ids = [c.encode(t) for t in texts]
+            cols = [pa.array(ids, pa.list_(pa.int32()))]
+            if check:
+                cols.append(pa.array([c.decode_bytes(i) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, into, *([check] if check else [])])
+        c.rest()
 
     return arrow_map(docs, run, kinds)
 
@@ -277,7 +292,7 @@ def decode_documents(rows: DataFrame, path: str | None = None, pattern: str | No
     """``rows`` with a binary column: the bytes that the ids stand for (null ids: no bytes)."""
     default = default_vocabulary() if path is None or pattern is None else (path, pattern)
     at, names = rows.columns.index(ids), rows.columns
-    kinds = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), f"`{into}` binary"])
+    kinds = extended(rows, f"`{into}` binary")
     use = (path or default[0], pattern or default[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +322,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append((len(ids), sha256(",".join(map(text_of, ids)).encode()).hexdigest(), sha256(c.decode_bytes(ids)).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.rest()
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, RESULT)
 

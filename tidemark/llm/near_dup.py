@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_map, cut, slices, table
+from .common import Table, arrow_map, cut, slices, table, whole_row
 from .components import connected_components
 
 WORDS = 5
@@ -48,7 +48,7 @@ BROADCAST_ROWS = 1_000_000
 #: Members of a family in one chunk; two chunks' sets are in memory at once.
 CHUNK = 512
 #: Text bytes hashed at once; a Python worker holds some forty times as much meanwhile.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -394,7 +394,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     found = _components(docs)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "_key").distinct()
     few = gone.count() <= BROADCAST_ROWS
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.xxhash64("doc_id", "text").alias("_k"))
+    rows = docs.select(whole_row(docs).alias("_row"), F.xxhash64("doc_id", "text").alias("_k"))
     gone = F.broadcast(gone) if few else gone
     rows = rows.join(gone, (rows["_k"] == gone["_key"]) & rows["_row.doc_id"].eqNullSafe(gone["_id"]), "left_anti")
     kept = found.filter(F.col("kept") & (F.col("n_shingles") > 0))
