@@ -113,6 +113,18 @@ def test_estimate(spark):
         assert abs(df.select(N.estimate(F.col("a"), F.col("b")).alias("x")).first()["x"] - true) < 0.09
 
 
+def test_short_texts_at_the_threshold(spark):
+    """Links of similarity exactly 0.75 between texts of a few shingles: 3 of 4, and 6 of 8."""
+    rnd, texts = random.Random(9), []
+    for few, most in [(7, 8), (10, 12)] * 100:
+        words = [f"w{rnd.randrange(10**9)}" for _ in range(most)]
+        texts += [" ".join(words[:few]), " ".join(words)]
+    want = components(range(len(texts)), texts)
+    assert len({c for _, c in want.values()}) == len(texts) // 2
+    got = N.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(1000, 1000 + i) for i in range(1, 50)]

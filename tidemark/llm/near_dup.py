@@ -3,7 +3,7 @@
 A document's set has its distinct five-word shingles, as 64-bit hashes; with
 fewer words the whole sequence is the one shingle. 1024 minima of the set are
 taken. Six at a time, the first 384 make 64 band keys, which bring candidates
-together; of each minimum the two low bits are kept, packed into longs, and similarity is
+together; of each minimum, mixed with a number of its own, two bits are kept, packed into longs, and similarity is
 estimated from counts of equal bit pairs, corrected for chance agreement (1/4).
 Candidates whose estimate is within five standard deviations of the threshold,
 or above, are confirmed on the full sets.
@@ -71,6 +71,7 @@ _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _A = (_random(HASHES, 2) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _B = (_random(HASHES, 3) >> _U(32)).astype(np.uint32)
+_C = _random(HASHES, 4)
 _ROWS_AT_ONCE = 64
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -151,8 +152,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, 32 pairs to a long."""
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(SIG_LONGS, 64 // BITS)
+    """Two bits of each mixed minimum, 32 pairs to a long. The low bits of A * x + B itself follow from those of x,
+    so that two shingles would agree in all hashes or in none."""
+    low = (_mix(least + _C) & _U((1 << BITS) - 1)).reshape(SIG_LONGS, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * _U(BITS)), axis=1)
 
 
