@@ -168,6 +168,19 @@ def test_cut_texts_are_clean(spark, block):
     assert decontaminate.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == df.count()
 
 
+@pytest.mark.parametrize("block", [3, 200_000])
+def test_decontaminate_cuts_to_the_end(spark, block):
+    """Passages of two items inside one another: each cut joins the words around it, whatever the blocks."""
+    items, filler, nested = [(0, "aa bb cc"), (1, "dd ee ff")], [f"word{i}" for i in range(60)], "aa bb cc"
+    for k in range(1, 7):
+        first, last = items[k % 2][1].rsplit(" ", 1)
+        nested = f"{first} {nested} {last}"
+    df = spark.createDataFrame([(1, " ".join([*filler[:30], nested, *filler[30:]])), (2, "aa bb"), (3, nested)], "doc_id long, text string")
+    out = decontaminate.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"), block_words=block)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert sorted(got) == [1, 2] and got[1].split() == filler and got[2] == "aa bb"
+
+
 # --- byte-level BPE -----------------------------------------------------------------
 
 

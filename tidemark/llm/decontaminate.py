@@ -258,37 +258,37 @@ def without_spans(text: str, low: list[int], high: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the same columns: hit spans are cut from the texts, and documents that are hit in more than
-    ``max_coverage`` of their words go. As a cut joins what stood apart, texts are scanned again until nothing
-    is hit; clean documents come through unchanged, byte for byte."""
+    ``max_coverage`` of their words go. As a cut joins what stood apart, texts are scanned again until no block
+    of the benchmark hits anything; clean documents come through unchanged, byte for byte."""
     names = docs.columns
     rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
     row = docs.select("text", rest.alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"))
     kinds = extended(row, "")
     shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
-    for auto in shared * min(2, len(shared)):  # a cut for one block may join words that an earlier block has
-        row = arrow_map(row, _cutter(auto, 0, 2), kinds)
     if not shared:
         return docs
-    row = row.filter(F.col("_cut") <= max_coverage * F.coalesce("_words", F.lit(0)))
+    row = arrow_map(row, _cutter(shared, 0, 2), kinds).filter(F.col("_cut") <= max_coverage * F.coalesce("_words", F.lit(0)))
     return row.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
 
 
-def _cutter(shared, at: int, n: int):
+def _cutter(shared: list, at: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        number = auto.number.get
+        autos = [s.value for s in shared]
         for b in slices(batches, at):
             texts, totals, cuts = (b.column(k).to_pylist() for k in (at, n, n + 1))
             for i, text in enumerate(texts):
-                while True:
-                    ws = words(text)
-                    if totals[i] is None:
-                        totals[i] = len(ws)
-                    spans = auto.scan([number(w, -1) for w in ws])[0]
-                    if not spans:
-                        break
-                    cuts[i] += sum(z - a for a, z in spans)
-                    text = without_spans(text, [a for a, _ in spans], [z for _, z in spans])
+                ws, k, clear = words(text), 0, 0
+                if totals[i] is None:
+                    totals[i] = len(ws)
+                while clear < len(autos):  # a cut for one block may join words that any other has
+                    number = autos[k].number.get
+                    spans = autos[k].scan([number(w, -1) for w in ws])[0]
+                    if spans:
+                        cuts[i] += sum(z - a for a, z in spans)
+                        text = without_spans(text, [a for a, _ in spans], [z for _, z in spans])
+                        ws, clear = words(text), 0
+                    else:
+                        k, clear = (k + 1) % len(autos), clear + 1
                 texts[i] = text
             cols = list(b.columns)
             cols[at], cols[n], cols[n + 1] = pa.array(texts, b.schema.field(at).type), pa.array(totals, pa.int64()), pa.array(cuts, pa.int64())
