@@ -51,6 +51,30 @@ def test_expected_counts_against_enumeration():
         assert got.get(piece, 0) == pytest.approx(2 * sum(p * w.count(piece) for w, p in ways.items()) / total)
 
 
+def test_long_runs_have_the_same_counts():
+    probs = {lang_id.MARK + "a": 0.3, lang_id.MARK: 0.1, "a": 0.2, "b": 0.3, "ab": 0.1}
+    for w in ("ab", "b", "abcab" * 6):
+        short, long = {}, {}
+        lang_id.expected_counts(w, 3, probs, 2, short)
+        lang_id.long_counts(w, 3, probs, 2, long)
+        assert long == pytest.approx(short)
+    got = {}
+    lang_id.expected_counts("ab" * 3000, 2, probs, 2, got)
+    assert sum(len(p) * n for p, n in got.items()) == pytest.approx(2 * (6000 + len(lang_id.MARK)))
+
+
+def test_learns_from_runs_without_spaces(spark):
+    pytest.importorskip("public_tokenizers")
+    words = {"de": "und nicht eine werden durch zwischen freundschaft wasser".split(), "en": "the which would through between friendship water because".split()}
+    rnd = random.Random(4)
+    glued = lambda lang: "".join(rnd.choice(words[lang]) for _ in range(60))
+    model = lang_id.learn(spark.createDataFrame([(i, lang, glued(lang)) for i in range(20) for lang in words], "doc_id long, lang string, text string"))
+    for lang in words:
+        for text in (glued(lang), " ".join(words[lang])):
+            found, score = model.predict(text)
+            assert found == lang and score > 0.9
+
+
 def test_held_out_accuracy(spark, sf):
     pytest.importorskip("public_tokenizers")
     got = lang_id.op6_lang_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()

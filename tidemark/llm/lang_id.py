@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +169,8 @@ class Model:
 
 def expected_counts(word: str, n: int, probs: dict[str, float], longest: int, into: dict[str, float]) -> None:
     """Adds each piece's expected number in ``n`` copies of the word, over all segmentations."""
+    if len(word) > SHORT:
+        return long_counts(word, n, probs, longest, into)
     w = MARK + word
     size = len(w)
     arcs, f = [], [0.0] * (size + 1)
@@ -192,11 +194,35 @@ def expected_counts(word: str, n: int, probs: dict[str, float], longest: int, in
         into[piece] = into.get(piece, 0.0) + f[i] * mass
 
 
+def long_counts(word: str, n: int, probs: dict[str, float], longest: int, into: dict[str, float]) -> None:
+    """The same for a word of any length, with logarithms of the forward sums; instead of the backward sums it keeps
+    the expected number of pieces that begin at each position, which don't underflow either."""
+    w = MARK + word
+    size = len(w)
+
+    def ending(j: int) -> list[tuple[int, float]]:
+        found = [(i, probs.get(w[i:j], 0.0) or (UNKNOWN if j == i + 1 else 0.0)) for i in range(max(0, j - longest), j)]
+        return [(i, p) for i, p in found if p]
+
+    f = [0.0] * (size + 1)
+    for j in range(1, size + 1):
+        arcs = ending(j)
+        top = max(f[i] for i, _ in arcs)
+        f[j] = top + log(sum(exp(f[i] - top) * p for i, p in arcs))
+    begin = [0.0] * size + [float(n)]
+    for j in range(size, 0, -1):
+        for i, p in ending(j):
+            mass = begin[j] * exp(f[i] - f[j]) * p
+            begin[i] += mass
+            piece = w[i:j]
+            into[piece] = into.get(piece, 0.0) + mass
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, 1):
         counts: dict[str, Counter] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            counts.setdefault(lang, Counter()).update(w for w in find_words((text or "").lower()) if len(w) <= SHORT)
+            counts.setdefault(lang, Counter()).update(find_words((text or "").lower()))
         rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -205,7 +231,7 @@ def _expect(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, probs, longest = shared.value
         sums: dict[str, dict[str, float]] = {}
-        for b in batches:
+        for b in slices(batches, 1):
             for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 expected_counts(w, n, probs.get(lang, pieces), longest, sums.setdefault(lang, {}))
         rows = [(lang, p, n) for lang, s in sums.items() for p, n in s.items()]
