@@ -39,9 +39,11 @@ WIDTH = 256
 SHORT = 64
 _AFTER, _BEFORE = list(range(1, SHORT + 2)), list(range(-1, SHORT + 1))
 #: Pre-tokens remembered by a Python worker, about 250 bytes each.
-REMEMBER = 400_000
-#: Of them, those that are kept when there are too many, and by an idle worker.
+REMEMBER = 200_000
+#: Of them, those that are kept when there are too many: the ones met first, which are the common ones.
 KEEP = 100_000
+#: Text bytes whose ids are in a worker's memory at once.
+SLICE = 1 << 19
 
 
 class RankQueue:
@@ -98,7 +100,9 @@ class Codec(dict):
         ids = self.encode_piece(piece.encode())
         if len(piece) <= SHORT:
             if len(self) >= REMEMBER:
-                self.rest()
+                kept = dict(islice(self.items(), KEEP))
+                self.clear()
+                self.update(kept)
             self[piece] = ids
         return ids
 
@@ -224,13 +228,6 @@ class Codec(dict):
             i = j
         return tuple(out)
 
-    def rest(self) -> None:
-        """Keeps the pre-tokens that were met first, which are the common ones."""
-        if len(self) > KEEP:
-            kept = dict(islice(self.items(), KEEP))
-            self.clear()
-            self.update(kept)
-
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.__getitem__, self.find(text))))
 
@@ -283,7 +280,6 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
             if check:
                 cols.append(pa.array([c.decode_bytes(i) == t.encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, into, *([check] if check else [])])
-        c.rest()
 
     return arrow_map(docs, run, kinds)
 
@@ -322,7 +318,6 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 rows.append((len(ids), sha256(",".join(map(text_of, ids)).encode()).hexdigest(), sha256(c.decode_bytes(ids)).hexdigest()))
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.rest()
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, RESULT)
 

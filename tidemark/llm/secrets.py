@@ -2,18 +2,21 @@
 
 From each rule's regular expression a Boolean query over trigrams is derived:
 literals, small classes and alternatives give the strings that every match must
-hold, and their trigrams must all be in the text. The index has a posting (the
-trigram and the document) for each trigram that some rule asks for, over texts
-in lower case. A rule's candidates are the documents in the intersection of a
+hold, and their trigrams must all be in the text. The index lists the distinct
+trigrams of each text, in lower case, by one walk over it whatever the number of
+rules, and keeps a posting (the trigram and the document) for those that its
+rules ask for. A rule's candidates are the documents in the intersection of a
 clause's postings; its expression runs on them alone. Rules from which no trigram
-follows run on every document.
+follows run on every document. An index can be kept (``Index``): rules that ask
+for trigrams it has read postings only, others add what it lacks.
 
 Built-in SQL functions alone: no Python runs on the executors; the expressions
 are parsed on the driver.
 
-Defined results: null text counts as empty and has no spans; rows of equal id and
-text get equal results; null ids are kept; other columns are ignored; an empty
-table gives an empty result.
+Defined results: null text counts as empty and has no spans; very long texts are
+listed in pieces of bounded size; spans of one place are ordered by their rule;
+rows of equal id and text get equal results; null ids are kept; other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .common import Table, table
 #: Strings of an alternative, or characters of a class, that are still written out.
 MOST_STRINGS = 64
 MOST_CHARS = 8
+#: Characters of a text whose trigrams are listed at once.
+PIECE = 4096
 #: Candidate documents whose keys are broadcast; with more, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 
@@ -143,11 +148,40 @@ def trigram_query(pattern: str) -> Query:
 # --- the index --------------------------------------------------------------
 
 
+def trigrams_of(text: Column, wanted: list[str]) -> Column:
+    """The distinct trigrams of the text, in lower case, that are among ``wanted``. Pieces overlap by two characters."""
+    pieces = F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{1,{PIECE + 2}}})).{{1,{PIECE}}}"), F.lit(1))
+    asked = F.array(*map(F.lit, wanted)).cast("array<string>")
+    held = F.transform(pieces, lambda p: F.array_intersect(F.regexp_extract_all(p, F.lit("(?s)(?=(...))"), F.lit(1)), asked))
+    return F.array_distinct(F.flatten(held))
+
+
 def build_index(rows: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id, _key) of the given trigrams over ``rows`` (doc_id, _key, text)."""
-    low = rows.select("doc_id", "_key", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains(F.col("low"), F.lit(t)), F.lit(t)) for t in trigrams]))
-    return low.select("doc_id", "_key", F.explode(held).alias("trigram"))
+    return rows.select("doc_id", "_key", F.explode(trigrams_of(F.col("text"), trigrams)).alias("trigram"))
+
+
+class Index:
+    """Postings of a frame of documents (doc_id, text) in the shared folder, for any rules."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.rows = S.keyed(docs)
+        self.known: set[str] = set()
+        self.tables: list[Table] = []
+
+    def postings(self, trigrams: set[str]) -> DataFrame:
+        """The postings of ``trigrams``. Reads the texts only where some of them aren't listed yet."""
+        new = sorted(trigrams - self.known)
+        if new:
+            self.tables.append(Table(build_index(self.rows, new), "trigrams"))
+            self.known |= trigrams
+        every = self.rows.sparkSession.read.parquet(*[t.path for t in self.tables])
+        return every.filter(F.col("trigram").isin(sorted(trigrams)))
+
+    def drop(self) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables, self.known = [], set()
 
 
 def candidates(index: DataFrame, queries: dict[int, frozenset]) -> DataFrame:
@@ -163,17 +197,19 @@ def candidates(index: DataFrame, queries: dict[int, frozenset]) -> DataFrame:
     return met.filter(F.col("n") == size).groupBy("doc_id", "_key").agg(F.bit_or(bit).alias("rules"))
 
 
-def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> tuple[DataFrame, list[Table]]:
+def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE, index: Index | None = None) -> tuple[DataFrame, list[Table]]:
     """doc_id, text (null: empty), base and spans (all rules') of every row; and the tables in the shared folder to
-    drop after use."""
+    drop after use. An ``index`` of the same documents is used and kept; without one, postings are made and dropped."""
     rows = S.keyed(docs)
     rules = (*base, *more)
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not None}
     tables: list[Table] = []
     if queries:
-        tables.append(Table(build_index(rows, sorted({t for q in queries.values() for c in q for t in c})), "trigrams"))
-        tables.append(Table(candidates(tables[0].df, queries), "candidates"))
-        met = tables[1].df
+        held = index or Index(docs)
+        tables.append(Table(candidates(held.postings({t for q in queries.values() for c in q for t in c}), queries), "candidates"))
+        if index is None:
+            held.drop()
+        met = tables[0].df
         few = met.count() <= BROADCAST_ROWS
         rows = rows.join(F.broadcast(met) if few else met, S.same_row(rows, met), "left").select(*[rows[c] for c in rows.columns], met["rules"])
     else:
