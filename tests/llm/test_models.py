@@ -41,6 +41,15 @@ def test_forward_sums_all_segmentations():
     assert all(map(math.isfinite, m._forward(lang_id.MARK + "ab" * 5000)))
 
 
+def test_sums_do_not_underflow_at_any_length():
+    pieces = {lang_id.MARK: (0.1, 0.2), "q": (0.001, 0.1)}
+    m = lang_id.Model(["x", "y"], pieces)
+    for n in (20, 44, 45, 46, 47, 48, 49, 60, 400):
+        for w in ("z" * n, "z" * (n - 1) + "q", "é" * n):
+            assert m.word(w) == pytest.approx(m._forward(lang_id.MARK + w))
+            assert all(x == pytest.approx(log_sum) for x, log_sum in zip(m.word(w), [math.log(pieces[lang_id.MARK][a]) + sum(math.log(pieces[c][a] if c in pieces else lang_id.UNKNOWN) for c in w) for a in (0, 1)], strict=True))
+
+
 def test_expected_counts_against_enumeration():
     probs = {lang_id.MARK + "a": 0.3, lang_id.MARK: 0.1, "a": 0.2, "b": 0.3, "ab": 0.1}
     got = {}

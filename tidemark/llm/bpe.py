@@ -14,8 +14,8 @@ steps, however long it is.
 Recent short pre-tokens are remembered, a bounded number of them, as most are
 common words.
 
-Defined results: null text counts as empty; the empty text has no tokens;
-strings of special tokens are ordinary text. Repeated rows are encoded apart;
+Defined results: null text counts as empty; the empty text has no tokens; very long texts
+are encoded whole, and of pairs of equal rank the leftmost is merged first; strings of special tokens are ordinary text. Repeated rows are encoded apart;
 other columns are ignored; an empty table gives an empty result.
 """
 
@@ -32,16 +32,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extended, slices, table
+from .common import arrow_map, extended, held, slices, table
 
 WIDTH = 256
 #: Pre-tokens of up to so many bytes keep their buckets as bitmaps of positions, longer ones as heaps.
 SHORT = 64
 _AFTER, _BEFORE = list(range(1, SHORT + 2)), list(range(-1, SHORT + 1))
-#: Pre-tokens remembered by a Python worker, about 250 bytes each.
-REMEMBER = 200_000
-#: Of them, those that are kept when there are too many: the ones met first, which are the common ones.
-KEEP = 100_000
+#: Pre-tokens remembered by a Python worker, about 250 bytes each, and how many of them are kept when there are too
+#: many: the ones met first, which are the common ones. Where ids are made for a table, workers share their executor
+#: with what other stages hold, and remember fewer.
+REMEMBER = 400_000
+REMEMBER_LESS = 120_000
+KEEP = 1 / 4
 #: Text bytes whose ids are in a worker's memory at once.
 SLICE = 1 << 19
 
@@ -86,11 +88,11 @@ class RankQueue:
 class Codec(dict):
     """A vocabulary of byte strings by rank. As a mapping: from pre-tokens to their ids, made when asked for."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = REMEMBER) -> None:
         super().__init__()
+        self.remember = remember
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
         self.longest = max(map(len, ranks), default=0)
         self.find = regex.compile(rust_pattern(pattern)).findall
         self.two = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
@@ -99,8 +101,8 @@ class Codec(dict):
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.encode_piece(piece.encode())
         if len(piece) <= SHORT:
-            if len(self) >= REMEMBER:
-                kept = dict(islice(self.items(), KEEP))
+            if len(self) >= self.remember:
+                kept = dict(islice(self.items(), int(self.remember * KEEP)))
                 self.clear()
                 self.update(kept)
             self[piece] = ids
@@ -245,14 +247,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python process."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(load_ranks(path), pattern)
-    return _codecs[path, pattern]
+def codec(path: str, pattern: str, remember: int = REMEMBER) -> Codec:
+    """One codec for each vocabulary, kept by a Python worker while it is used."""
+    return held(("codec", path, pattern, remember), lambda: Codec(load_ranks(path), pattern, remember))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -272,8 +269,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     use = (path or default[0], pattern or default[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*use)
-        for b in slices(batches, at):
+        c = codec(*use, REMEMBER_LESS)
+        for b in slices(batches, at, SLICE):
             texts = [t or "" for t in b.column(at).to_pylist()]
             ids = [c.encode(t) for t in texts]
             cols = [pa.array(ids, pa.list_(pa.int32()))]
@@ -292,8 +289,8 @@ def decode_documents(rows: DataFrame, path: str | None = None, pattern: str | No
     use = (path or default[0], pattern or default[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*use)
-        for b in slices(batches, at):
+        c = codec(*use, REMEMBER_LESS)
+        for b in slices(batches, at, SLICE):
             raw = pa.array([c.decode_bytes(x or ()) for x in b.column(at).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, raw], [*names, into])
 
@@ -310,7 +307,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        text_of = c.text_of.__getitem__
+        text_of = [str(i) for i in range(max(c.bytes_of, default=0) + 1)].__getitem__
         for b in slices(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():

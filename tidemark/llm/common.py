@@ -64,6 +64,29 @@ def ship_library(spark: SparkSession) -> None:
     sc._tidemark_shipped = True
 
 
+_kept: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by this Python worker until something of another key is asked for: workers are used
+    again by other operators, which need the memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _give_back() -> None:
+    """Memory that the worker has freed goes back to the system, where its libraries can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on the executors. Batches of 10,000 rows, Spark's default, are too
     large for long texts: a session that has that setting gets BATCH_ROWS."""
@@ -72,8 +95,10 @@ def arrow_map(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFr
         df.sparkSession.conf.set(_BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from fn(batches)
-        pa.default_memory_pool().release_unused()  # a worker is used again, maybe for something else
+        try:
+            yield from fn(batches)
+        finally:
+            _give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -109,6 +134,18 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+_tables: dict[str, Table] = {}
+
+
+def drop_tables() -> int:
+    """Drops every table that this process wrote and that wasn't dropped yet, and returns their number. Frames that an
+    operator returned may still read such tables: to be called when their rows have been used."""
+    left = list(_tables.values())
+    for t in left:
+        t.drop()
+    return len(left)
+
+
 class Table:
     """A frame written as Parquet to the shared folder; dropped with ``drop``.
 
@@ -121,6 +158,7 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{checkpoint_dir(self.spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
         df.write.mode("errorifexists").parquet(self.path)
+        _tables[self.path] = self
 
     @property
     def df(self) -> DataFrame:
@@ -130,4 +168,5 @@ class Table:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(self.path)
         p.getFileSystem(conf).delete(p, True)
+        _tables.pop(self.path, None)
 

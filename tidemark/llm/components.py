@@ -1,7 +1,9 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
 Everything stays distributed: a step is an aggregation with map-side combining
-and a join that adaptive execution can split where a hub is hot. Each round is
+and a join. A hub, which has more than one in SHARE of all ends of links, is met by a
+broadcast: there are SHARE hubs at most, however large the graph, and no task gets
+all of a hub's links. Each round is
 written to the shared folder, which cuts the lineage, and read in as few parts as
 its size asks for. (Kiveris et al., "Connected Components in
 MapReduce and Beyond".)
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import Table
 
 MAX_ROUNDS = 100
+#: A hub has more than one in so many of all ends of links.
+SHARE = 200
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,6 +26,21 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def _least(ends: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """The least ``v`` of each ``u`` (u, m): of hubs, which are SHARE at most, and of all others."""
+    low = ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hub = F.col("n") * SHARE > total
+    return low.filter(hub).select("u", "m"), low.filter(~hub).select("u", "m")
+
+
+def _met(ends: DataFrame, least: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """``ends`` with ``m``."""
+    hubs, others = least
+    hot = ends.join(F.broadcast(hubs), "u")
+    cold = ends.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u")
+    return hot.union(cold)
+
+
 def connected_components(edges: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """``edges`` has long columns u and v. Returns node and label (the smallest node of its component) for every
     node that has an edge to another and isn't itself the smallest. The table that holds the result is added to
@@ -33,10 +52,10 @@ def connected_components(edges: DataFrame, tables: list[Table] | None = None) ->
             break
         e = held.df
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        large = _met(both.filter("v > u"), _least(both, 2 * state[0])).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        hubs, others = least = _least(large, state[0])
+        low = hubs.union(others)
+        small = _met(large, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         held, old = Table(small, "edges"), held
         old.drop()
         state, before = _state(held.df), state

@@ -14,8 +14,9 @@ id hashes lowest, so it doesn't depend on the order or number of files.
 
 Defined results: the prediction is ``und`` with score 0 where text is null or has
 no letter, or where there was nothing to learn from; rows with a null lang are
-not learned from; lang, source and doc_id play no part in predicting. Repeated
-rows are judged apart; other columns are ignored; an empty table gives an empty
+not learned from; lang, source and doc_id play no part in predicting; of equal
+scores the language that sorts first wins; very long texts and words are scored
+whole, with scaling. Repeated rows are judged apart; other columns are ignored; an empty table gives an empty
 result.
 """
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_map, extended, slices, table, whole_row
+from .common import Table, arrow_map, extended, held, slices, table, whole_row
 
 #: Labelled rows that a language is learned from, about.
 ROWS_PER_LANG = 300
@@ -43,7 +45,7 @@ REMEMBER = 300_000
 UNKNOWN = 1e-7
 SMOOTH = 0.05
 
-#: Words of up to so many letters are remembered, and learned from.
+#: Words of up to so many letters are remembered.
 SHORT = 48
 
 LETTER = regex.compile(r"\p{L}")
@@ -83,8 +85,8 @@ class Model:
         return self._arcs(MARK + word) if len(word) <= SHORT else self._forward(MARK + word)
 
     def _arcs(self, w: str) -> tuple[float, ...]:
-        """The forward sums of a word short enough not to underflow: its pieces are found once, by walking the
-        vocabulary's prefixes from each position, and summed for one language after another."""
+        """The forward sums of a short word: its pieces are found once, by walking the vocabulary's prefixes from each
+        position, and summed for one language after another. Where these sums underflow, they are taken with scaling."""
         n, get, arcs = len(w), self.prefixes.get, []
         for i in range(n):
             one = False
@@ -102,7 +104,9 @@ class Model:
             f = [1.0, *zeros]
             for i, j, p in arcs:
                 f[j] += f[i] * p[a]
-            out.append(log(f[n]) if f[n] > 0 else -700.0)
+            if f[n] < 1e-290:
+                return self._forward(w)
+            out.append(log(f[n]))
         return tuple(out)
 
     def _forward(self, w: str) -> tuple[float, ...]:
@@ -280,10 +284,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     first, *inner = text.split(".")
     at, names = docs.columns.index(first), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces))
-    kinds = extended(docs, "lang_pred string, score double")
+    kinds, tag = extended(docs, "lang_pred string, score double"), uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(*shared.value)
+        m = held(("lang", tag), lambda: Model(*shared.value))
         for b in slices(batches, at):
             texts = b.column(at)
             for f in inner:

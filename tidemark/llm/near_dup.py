@@ -19,7 +19,8 @@ then full sets). A link with similarity 0.75 shares no band with a probability
 of (1 - 0.75^6)^64 = 4e-6; every other link is found.
 
 Defined results: null text and text without words have the empty set and are
-linked with nothing; rows of equal text are linked whatever their ids; a null id
+linked with nothing; very long texts are taken whole, hashed in windows of bounded
+size; of equally near candidates all are tested; rows of equal text are linked whatever their ids; a null id
 takes part, and is the component's id only where it has no other; equal rows get
 equal results; other columns are ignored; an empty table gives an empty result.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, arrow_map, cut, slices, table, whole_row
+from .common import Table, arrow_map, cut, held, slices, table, whole_row
 from .components import connected_components
 
 WORDS = 5
@@ -45,9 +46,9 @@ SIG_LONGS = HASHES * BITS // 64
 SIGMAS = 5.0
 #: Candidate documents whose ids are broadcast to filter the texts; with more, texts are shuffled to them.
 BROADCAST_ROWS = 1_000_000
-#: Members of a family in one chunk; two chunks' sets are in memory at once.
-CHUNK = 512
-#: Text bytes hashed at once; a Python worker holds some forty times as much meanwhile.
+#: Members of a family in one chunk, and their shingles, on average; two chunks' sets are in memory at once.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Text bytes whose sets are in a worker's memory at once.
 SLICE = 1 << 18
 
 _SPACE = np.zeros(256, bool)
@@ -73,24 +74,60 @@ _A = (_random(HASHES, 2) >> _U(32)).astype(np.uint32) | np.uint32(1)
 _B = (_random(HASHES, 3) >> _U(32)).astype(np.uint32)
 _C = _random(HASHES, 4)
 _ROWS_AT_ONCE = 64
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of text whose word hashes are computed at once.
+WINDOW = 1 << 19
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i for i below n, at least; built by doubling and kept."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if not _powers or max(_powers) < size:
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """P^i and P^-i for i up to a window's size; built by doubling and kept while it is used."""
+
+    def make() -> tuple[np.ndarray, np.ndarray]:
         made = []
         for base in (_P, _P_INV):
-            t = np.ones(size, np.uint64)
+            t = np.ones(2 * WINDOW, np.uint64)
             k = 1
-            while k < size:
+            while k < len(t):
                 t[k : 2 * k] = t[:k] * _U(pow(base, k, 1 << 64))
                 k *= 2
             made.append(t)
-        _powers.clear()
-        _powers[size] = (made[0], made[1])
-    return _powers[max(_powers)]
+        return made[0], made[1]
+
+    return held("powers", make)
+
+
+def _hashes_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in a buffer that ends with a space, and where they begin."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[buf])).astype(np.int8)))
+    low, high = edge[::2], edge[1::2]
+    up, down = _power_tables()
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=np.uint64)))
+    return _mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64)), low
+
+
+def _windows(buf: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The buffer in pieces of up to WINDOW bytes that end with a space; a word that has more is a piece with the space after it."""
+    at = 0
+    while at < len(buf):
+        z = min(len(buf), at + WINDOW)
+        space = np.flatnonzero(_SPACE[buf[at:z]])
+        if len(space):
+            end = at + int(space[-1]) + 1
+        else:
+            while not len(space := np.flatnonzero(_SPACE[buf[z : z + WINDOW]])):
+                z += WINDOW
+            end = z + int(space[0]) + 1
+        yield at, end
+        at = end
+
+
+def _long_word(buf: np.ndarray) -> np.ndarray:
+    """The hash of one word, with the space after it, that is longer than the tables; as ``_hashes_of`` gives it."""
+    word = buf[:-1]
+    up, total = _power_tables()[0], 0
+    for at in range(0, len(word), WINDOW):
+        part = word[at : at + WINDOW]
+        total += int(np.sum(_BYTE[part] * up[: len(part)], dtype=np.uint64)) * pow(_P, at, 1 << 64)
+    return _mix(np.array([(total + len(word)) & (1 << 64) - 1], np.uint64))
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,13 +136,13 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     Words are runs of anything but ASCII white space, with A-Z lower-cased. A word's hash is a difference of
     prefix sums of (byte's random number * P^position), divided by P^(the word's position), mixed."""
     raw = [(t or "").encode().lower() for t in texts]  # bytes.lower() touches A-Z alone
-    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    space = _SPACE[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space)).astype(np.int8)))
-    low, high = edge[::2], edge[1::2]  # words; the last byte is a space
-    up, down = _power_tables(len(buf) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[buf] * up[: len(buf)], dtype=np.uint64)))
-    word = _mix((total[high] - total[low]) * down[low] + (high - low).astype(np.uint64))
+    buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)  # the last byte is a space
+    words, lows = [], []
+    for at, z in _windows(buf):
+        word, low = (_long_word(buf[at:z]), np.zeros(1, np.int64)) if z - at > 2 * WINDOW else _hashes_of(buf[at:z])
+        words.append(word)
+        lows.append(low + at)
+    word, low = np.concatenate(words), np.concatenate(lows)
     ends = np.cumsum([len(r) + 1 for r in raw])
     return word, np.searchsorted(low, np.concatenate(([0], ends[:-1]))), np.searchsorted(low, ends)
 
@@ -318,10 +355,10 @@ class _Linker:
         family = connected_components(held.join(lead, "key").select(F.col("node").alias("u"), "v"), self.tables)
         nodes = self.labelled(held.select("node", "label", "n", "sig").dropDuplicates(["node"]), family, "node", "family")
         nodes = self.written(nodes, "apart")
-        sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-        chunks = F.ceil(F.col("size") / CHUNK)
+        sizes = nodes.groupBy("family").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+        chunks = F.ceil(F.greatest(F.col("size") / CHUNK, F.col("shingles") / CHUNK_SHINGLES))
         mine = F.pmod(F.xxhash64("node"), chunks).alias("mine")
-        dealt = nodes.join(sizes, "family").select("node", "label", "n", "sig", "family", chunks.alias("chunks"), mine)
+        dealt = nodes.join(sizes.filter("size > 1"), "family").select("node", "label", "n", "sig", "family", chunks.alias("chunks"), mine)
         cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.struct(F.least(k, "mine").alias("i"), F.greatest(k, "mine").alias("j")))
         sets = self.sets(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
         full = dealt.join(sets, "node").select("*", F.explode(cells).alias("c")).select("family", "c.i", "c.j", "mine", "node", "label", "n", "sig", "shingles")
