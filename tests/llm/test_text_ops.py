@@ -168,9 +168,10 @@ def test_cut_texts_are_clean(spark, block):
     assert decontaminate.decontaminate(df, spark.createDataFrame([], "item_id long, text string")).count() == df.count()
 
 
-@pytest.mark.parametrize("block", [3, 200_000])
-def test_decontaminate_cuts_to_the_end(spark, block):
-    """Passages of two items inside one another: each cut joins the words around it, whatever the blocks."""
+@pytest.mark.parametrize(("block", "group"), [(3, 1), (3, 2), (200_000, 2)])
+def test_decontaminate_cuts_to_the_end(spark, block, group, monkeypatch):
+    """Passages of two items inside one another: each cut joins the words around it, whatever the blocks and their groups."""
+    monkeypatch.setattr(decontaminate, "GROUP", group)
     items, filler, nested = [(0, "aa bb cc"), (1, "dd ee ff")], [f"word{i}" for i in range(60)], "aa bb cc"
     for k in range(1, 7):
         first, last = items[k % 2][1].rsplit(" ", 1)

@@ -9,13 +9,14 @@ an item's window; items shorter than a window are found whole, through the
 suffix links of the states that end them.
 
 The items are taken in blocks of a bounded number of words, each with its own
-automaton that is broadcast; a document passes the blocks one after another in
-the same stage, carrying what was hit so far. So what is held in memory is
-bounded however many items there are, and no item is left out. Items longer
-than a block are cut into pieces that overlap by ``window`` - 1 words, which
-keeps every window.
-
-Defined results: null text has no words; an item without words matches nothing;
+automaton that is broadcast; a document passes the blocks one after another,
+carrying what was hit so far. GROUP blocks make one stage; with more blocks, what
+a stage gives is written to a table, its broadcasts are destroyed, and the next
+blocks are read. So what the driver and the workers hold is bounded however many
+items there are, and no item is left out. Items longer than a block are cut into
+pieces that overlap by ``window`` - 1 words, which keeps every window.
+
+Defined results: null text has no words; very long texts are scanned whole; an item without words matches nothing;
 an item without an id still marks words but is neither listed nor counted;
 equal item ids count once; repeated documents are judged apart; other columns
 pass through; empty tables give no hits or no rows.
@@ -23,18 +24,21 @@ pass through; empty tables give no hits or no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import sha256
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, extended, slices, table
+from .common import Table, arrow_map, extended, slices, table
 
 WINDOW = 10
 #: Benchmark words in one automaton.
 BLOCK_WORDS = 200_000
+#: Automata that are in memory at once.
+GROUP = 2
 #: Documents that are hit in more than this share of their words go; of others, the hit spans.
 MAX_COVERAGE = 0.5
 
@@ -200,32 +204,51 @@ def blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[list
         yield held
 
 
+def in_groups(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int, step: Callable[[DataFrame, list], DataFrame], name: str) -> tuple[DataFrame, int]:
+    """``step`` (rows, broadcast automata) for one group of blocks after another, and the number of groups. All but the last
+    group's rows are written, so that only the last group's automata are still needed for what is returned."""
+    context, found = rows.sparkSession.sparkContext, blocks(benchmark, window, block_words)
+    group, old, n = list(islice(found, GROUP)), None, 0
+    while group:
+        following = list(islice(found, GROUP))
+        shared = [context.broadcast(Automaton(b, window)) for b in group]
+        rows, n = step(rows, shared), n + 1
+        if following:
+            made = Table(rows, name)
+            for s in shared:
+                s.destroy()
+            if old is not None:
+                old.drop()
+            rows, old = made.df, made
+        group = following
+    return rows, n
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, hit_from and hit_to (arrays of word positions, spans merged) and items (ids as
-    strings). Columns of ``docs`` with these names must be renamed before."""
-    spark = docs.sparkSession
+    strings). Columns of ``docs`` with these names must be renamed before. With more than GROUP blocks it runs when
+    called, and the result reads a table in the shared folder."""
     cols = docs.columns
     at = cols.index("text")
     kinds = extended(docs, "n_words long, hit_from array<int>, hit_to array<int>, items array<string>")
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_from": F.array().cast("array<int>"), "hit_to": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    held = [spark.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
-    for auto in held or [spark.sparkContext.broadcast(Automaton([], window))]:
-        out = arrow_map(out, _scanner(auto, at, len(cols)), kinds)
-    return out
+    none = docs.withColumns({"n_words": F.lit(None).cast("long"), "hit_from": F.array().cast("array<int>"), "hit_to": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    out, n = in_groups(none, benchmark, window, block_words, lambda rows, shared: arrow_map(rows, _scanner(shared, at, len(cols)), kinds), "scanned")
+    return out if n else arrow_map(none, _scanner([], at, len(cols)), kinds)
 
 
-def _scanner(shared, at: int, n: int):
+def _scanner(shared: list, at: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        number = auto.number.get
+        autos = [s.value for s in shared]
         for b in slices(batches, at):
             count, lows, highs, found = [], [], [], []
             for text, low, high, items in zip(b.column(at).to_pylist(), *(b.column(n + k).to_pylist() for k in (1, 2, 3)), strict=True):
-                ws = words(text)
-                spans, ids = auto.scan([number(w, -1) for w in ws])
-                ids = {str(x) for x in ids if x is not None}
-                if low:
-                    spans, ids = merged([*zip(low, high, strict=True), *spans]), ids | set(items)
+                ws, ids = words(text), set(items)
+                spans = [*zip(low, high, strict=True)]
+                for auto in autos:
+                    number = auto.number.get
+                    more, of = auto.scan([number(w, -1) for w in ws])
+                    spans = merged([*spans, *more]) if spans else more
+                    ids |= {str(x) for x in of if x is not None}
                 count.append(len(ws))
                 lows.append([a for a, _ in spans])
                 highs.append([z for _, z in spans])
@@ -262,20 +285,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     of the benchmark hits anything; clean documents come through unchanged, byte for byte."""
     names = docs.columns
     rest = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
-    row = docs.select("text", rest.alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"))
+    row = docs.select("text", rest.alias("_row"), F.lit(None).cast("long").alias("_words"), F.lit(0).cast("long").alias("_cut"), F.lit(False).alias("_touched"))
     kinds = extended(row, "")
-    shared = [docs.sparkSession.sparkContext.broadcast(Automaton(b, window)) for b in blocks(benchmark, window, block_words)]
-    if not shared:
+    step = lambda rows, shared: arrow_map(rows, _cutter(shared), kinds)
+    out, n = in_groups(row, benchmark, window, block_words, step, "cut")
+    if not n:
         return docs
-    row = arrow_map(row, _cutter(shared, 0, 2), kinds).filter(F.col("_cut") <= max_coverage * F.coalesce("_words", F.lit(0)))
-    return row.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
-
-
-def _cutter(shared: list, at: int, n: int):
+    gone = F.col("_cut") > max_coverage * F.coalesce("_words", F.lit(0))
+    done = []
+    while n > 1:  # a cut for a later group may join words that an earlier one has: texts that were cut pass all groups again
+        whole = Table(out.filter(~gone), "cut").df
+        done.append(whole.filter("NOT _touched"))
+        if whole.filter("_touched").isEmpty():
+            out = reduce(DataFrame.unionByName, done)
+            break
+        out, n = in_groups(whole.filter("_touched").withColumn("_touched", F.lit(False)), benchmark, window, block_words, step, "cut")
+    return out.filter(~gone).select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in names])
+
+
+def _cutter(shared: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         autos = [s.value for s in shared]
-        for b in slices(batches, at):
-            texts, totals, cuts = (b.column(k).to_pylist() for k in (at, n, n + 1))
+        for b in slices(batches, 0):
+            texts, totals, cuts, touched = (b.column(k).to_pylist() for k in (0, 2, 3, 4))
             for i, text in enumerate(texts):
                 ws, k, clear = words(text), 0, 0
                 if totals[i] is None:
@@ -286,13 +318,12 @@ def _cutter(shared: list, at: int, n: int):
                     if spans:
                         cuts[i] += sum(z - a for a, z in spans)
                         text = without_spans(text, [a for a, _ in spans], [z for _, z in spans])
-                        ws, clear = words(text), 0
+                        ws, clear, touched[i] = words(text), 0, True
                     else:
                         k, clear = (k + 1) % len(autos), clear + 1
                 texts[i] = text
-            cols = list(b.columns)
-            cols[at], cols[n], cols[n + 1] = pa.array(texts, b.schema.field(at).type), pa.array(totals, pa.int64()), pa.array(cuts, pa.int64())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+            made = [pa.array(texts, b.schema.field(0).type), b.column(1), pa.array(totals, pa.int64()), pa.array(cuts, pa.int64()), pa.array(touched, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(made, b.schema.names)
 
     return run
 
