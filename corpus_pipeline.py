@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) and returns the documents that
 go on, with the columns of ``documents``; the last returns tokens.
+
+Defined results: null, empty and letterless texts go in language ID, as no
+language can be told; very long texts are handled whole; repeated rows and near
+copies leave one row; of ties the smallest doc_id stays; columns beside doc_id,
+text and n_chars pass through to the last stage, whatever their names; n_chars
+follows the text; an empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -58,9 +64,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = Table(docs, f"stage-{k}").df
+            made = Table(docs, f"stage-{k}")
+            if held is not None:
+                held.drop()
+            docs, held = made.df, made
     return docs
