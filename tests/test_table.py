@@ -76,11 +76,57 @@ def test_model(spark, tmp_path):
     assert {r["key"]: r["value"] for r in KVTable.open(spark, path).live().collect()} == model
 
 
-def test_hot_keys_do_not_flush(spark, tmp_path):
-    t = KVTable.open(spark, str(tmp_path / "h"), Options(flush_threshold=3))
+def test_hot_keys_stay_bounded(spark, tmp_path):
+    from tidemark.sources.kvtable import LOGGED
+
+    path = str(tmp_path / "h")
+    t = KVTable.open(spark, path, Options(flush_threshold=3))
     for i in range(9):
         t.put(f"k{i % 2}", str(i))
-    assert not t.manifest.segments and len(t.tail) == 9
+    assert not t.manifest.segments and len(t.tail) == 2 and t.records == 9
+    again = KVTable.open(spark, path, Options(flush_threshold=3))
+    assert again.tail == t.tail and again.last_seq == 9 and again.get("k0") == (True, "8")
+    t.write([(PUT, "k1", str(i)) for i in range(3 * LOGGED)])
+    assert len(t.manifest.segments) == 1 and not t.tail and not t.logged
+    assert KVTable.open(spark, path).get("k1") == (True, str(3 * LOGGED - 1))
+
+
+def test_two_writers_of_one_name(spark, tmp_path):
+    """Whoever comes second fails, and what the first one wrote stays; temporary files are gone."""
+    a, b = Files(spark, str(tmp_path / "w")), Files(spark, str(tmp_path / "w"))
+    a.mkdirs()
+    a.write_new("x", b"first")
+    with pytest.raises(FileExistsError):
+        b.write_new("x", b"second")
+    assert a.read("x") == b"first" and b.names() == ["x"]
+    from concurrent.futures import ThreadPoolExecutor
+
+    def race(k):
+        won = []
+        for i in range(20):
+            try:
+                (a, b)[k].write_new(f"n{i}", bytes([k]))
+                won.append(i)
+            except FileExistsError:
+                pass
+        return won
+
+    with ThreadPoolExecutor(2) as pool:
+        won = list(pool.map(race, (0, 1)))
+    assert sorted(won[0] + won[1]) == list(range(20))
+    assert all(a.read(f"n{i}") == bytes([k]) for k in (0, 1) for i in won[k])
+
+
+def test_interleaved_writers_do_not_mix(spark, tmp_path):
+    path = str(tmp_path / "i")
+    one, two = KVTable.open(spark, path), KVTable.open(spark, path)
+    one.put("a", "1")
+    with pytest.raises(FileExistsError):
+        two.put("b", "2")
+    one.flush()
+    with pytest.raises(FileExistsError):
+        two.append(spark.createDataFrame([("c", "3", PUT, 1)], "key string, value string, op int, place long"))
+    assert {r["key"] for r in KVTable.open(spark, path).live().collect()} == {"a"}
 
 
 def test_replica_batches(spark, tmp_path):

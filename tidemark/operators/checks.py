@@ -33,8 +33,8 @@ def privacy(docs: DataFrame, ident: str, text: str, words: tuple[str, ...] = ())
 
 
 def recorded(c: Column) -> Column:
-    """Not null, not blank, not the word unknown."""
-    return F.coalesce((F.trim(c) != "") & (F.trim(c) != "unknown"), F.lit(False))
+    """Not null, with something but white space, and not exactly the word unknown."""
+    return F.coalesce(c.rlike(r"[^\p{IsWhite_Space}]") & (c != "unknown"), F.lit(False))
 
 
 def required(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -70,9 +70,15 @@ def tombstones(log: DataFrame) -> DataFrame:
 
 
 def history(log: DataFrame) -> DataFrame:
-    """Every version with its age (1: the newest) among its key's."""
-    w = Window.partitionBy("key").orderBy(F.col("seq").desc(), *([F.col("pos").asc()] if "pos" in log.columns else []))
-    return log.withColumn("age", F.row_number().over(w).cast("long"))
+    """Every version with its age (1: the newest) among its key's: counted by blocks of the log, so that a hot key's
+    versions aren't in one task. In batches, versions of one sequence number count from the last place to the first."""
+    from ..functions.running import running_sum
+
+    order = (F.col("seq").cast("decimal(38,0)") * (1 << 31) - F.col("pos")) if "pos" in log.columns else F.col("seq")
+    counted = running_sum(log.withColumns({"_order": order, "_one": F.lit(1).cast("long")}), ["key"], "_order", "_one", "_n")
+    total = log.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_all"))
+    met = counted.join(total, F.col("key").eqNullSafe(F.col("_key")))
+    return met.withColumn("age", F.col("_all") - F.col("_n") + 1).select(*log.columns, "age")
 
 
 def version_counts(log: DataFrame) -> DataFrame:

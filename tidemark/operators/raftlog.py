@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.running import before_max, previous, running_sum
+from ..functions.running import before_max, carried, previous, running_sum
 from ..schema import APPEND_CAP_BYTES, BATCH_MAX_BYTES, BATCH_MAX_ENTRIES, ENTRY_OVERHEAD_BYTES, MAX_ENTRY_BYTES
 
 CHUNK = 1000
@@ -19,21 +19,34 @@ def majority(n: Column) -> Column:
     return F.floor(n / 2).cast("long") + 1
 
 
-def quorum_commit(matches: DataFrame, group: str = "grp") -> DataFrame:
-    """The highest index that a majority of each group's peers has: the n/2+1-th largest match."""
+def quorum_index(matches: DataFrame, group: str = "grp") -> DataFrame:
+    """The highest index that a majority of each group's peers has: the n/2+1-th largest match. Peers are few."""
     w = Window.partitionBy(group).orderBy(F.col("matched").desc(), F.col("peer"))
     sized = matches.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    return sized.filter(F.col("r") == majority(F.col("n"))).select(group, F.col("n").alias("peers"), F.col("matched").alias("commit_index"))
+    return sized.filter(F.col("r") == majority(F.col("n"))).select(group, F.col("n").alias("peers"), F.col("matched").alias("candidate"))
 
 
-def joint_commit(matches: DataFrame, members: DataFrame, group: str = "grp") -> DataFrame:
-    """While membership changes an index needs a majority of both voter sets (members: side, peer); a voter that
-    hasn't answered matches 0. The sides are as few as peers and are broadcast."""
-    voters = matches.select(group).distinct().join(F.broadcast(members))
+def joint_index(matches: DataFrame, members: list[tuple[str, str]], group: str = "grp") -> DataFrame:
+    """While membership changes an index needs a majority of both voter sets (members: side and peer, few); a voter that
+    hasn't answered matches 0."""
+    listed = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(p).alias("peer")) for s, p in members])
+    voters = matches.select(group).distinct().select(group, F.explode(listed).alias("m")).select(group, "m.side", "m.peer")
     full = voters.join(matches, [group, "peer"], "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
     w = Window.partitionBy(group, "side").orderBy(F.col("matched").desc(), F.col("peer"))
     sized = full.withColumn("r", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(group, "side")))
-    return sized.filter(F.col("r") == majority(F.col("n"))).groupBy(group).agg(F.min("matched").alias("commit_index"))
+    return sized.filter(F.col("r") == majority(F.col("n"))).groupBy(group).agg(F.min("matched").alias("candidate"))
+
+
+def committed(candidates: DataFrame, log: DataFrame, states: DataFrame, group: str = "grp") -> DataFrame:
+    """The commit index of each group's leader (states: group, term, commit_index, last_index) when a quorum has
+    ``candidate``: it goes up to the candidate only if that is in the leader's log (group, idx, entry_term) and of the
+    leader's own term, and never back. Terms don't fall along a log, so no lower index can be of that term if the
+    candidate isn't."""
+    held = states.join(candidates, group, "left").withColumn("at", F.least("candidate", "last_index"))
+    at = log.select(F.col(group).alias("_g"), F.col("idx").alias("at"), "entry_term")
+    met = held.join(at, (held[group] == at["_g"]) & (held["at"] == at["at"]), "left").drop("_g").select(*[held[c] for c in held.columns], "entry_term")
+    up = F.when(F.col("entry_term") == F.col("term"), F.greatest("commit_index", "at")).otherwise(F.col("commit_index"))
+    return met.withColumn("commit_index", up).drop("at", "entry_term", "candidate")
 
 
 def first_conflict(log: DataFrame, leader: int = 1) -> DataFrame:
@@ -51,10 +64,15 @@ def term_runs(log: DataFrame) -> DataFrame:
     return runs.groupBy("node", "run").agg(F.min("term").alias("term"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"))
 
 
-def conflict_hint(log: DataFrame, leader: int = 1) -> DataFrame:
-    """Where a follower tells the leader to go on from: the first index of the conflicting term's run."""
-    at = first_conflict(log, leader).select("node", "truncate_from")
-    return at.join(term_runs(log), "node").filter(F.col("truncate_from").between(F.col("first_idx"), F.col("last_idx"))).select("node", "truncate_from", F.col("term").alias("conflict_term"), F.col("first_idx").alias("hint"))
+def conflict_hint(log: DataFrame, leader: int = 1, snapshot_index: int = 0) -> DataFrame:
+    """Where a follower tells the leader to go on from: the first index, above its snapshot, of the run of the term that
+    the conflicting entry has. One aggregation: the last entry before it that has another term."""
+    at = first_conflict(log.filter(F.col("idx") > snapshot_index), leader).select("node", "truncate_from")
+    own = log.join(at, "node").filter((F.col("idx") <= F.col("truncate_from")) & (F.col("idx") > snapshot_index))
+    term = own.filter(F.col("idx") == F.col("truncate_from")).select("node", F.col("term").alias("conflict_term"))
+    run = own.join(term, "node").groupBy("node", "truncate_from", "conflict_term")
+    other = F.max(F.when(F.col("term") != F.col("conflict_term"), F.col("idx")))
+    return run.agg(F.coalesce(other + 1, F.min("idx")).alias("hint")).select("node", "truncate_from", "conflict_term", "hint")
 
 
 def malformed(messages: DataFrame, entries: DataFrame) -> DataFrame:
@@ -76,9 +94,10 @@ def malformed(messages: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def contiguity(log: DataFrame) -> DataFrame:
-    """Whether each log's indexes go on by one, and its last index and term."""
+    """Whether each log's indexes go on by one, none repeated, and its last index and term."""
+    span = F.max("idx") - F.min("idx") + 1
     return log.groupBy("node").agg(
-        F.when(F.max("idx") - F.min("idx") + 1 == F.countDistinct("idx"), 1).otherwise(0).alias("contiguous"),
+        F.when((span == F.countDistinct("idx")) & (span == F.count("idx")), 1).otherwise(0).alias("contiguous"),
         F.min("idx").alias("first_idx"),
         F.max("idx").alias("last_idx"),
         F.max_by("term", "idx").alias("last_term"),
@@ -98,23 +117,26 @@ def role_transitions(statuses: DataFrame) -> DataFrame:
     return back.groupBy("node").agg(became("candidate").alias("elections"), became("leader").alias("won"), F.count_if((F.col("prev_role") == "leader") & (F.col("role") != "leader") & (F.col("prev_term") == F.col("term"))).alias("lost"))
 
 
-def vote_grants(requests: DataFrame, voters: DataFrame) -> DataFrame:
-    """Votes for each candidate (candidate, last_term, last_index): a voter (voter, term, idx) grants if the
-    candidate's log is at least as up to date. Voters are as few as nodes and are broadcast."""
-    up_to_date = (F.col("last_term") > F.col("term")) | ((F.col("last_term") == F.col("term")) & (F.col("last_index") >= F.col("idx")))
-    met = requests.join(F.broadcast(voters))
-    tally = met.groupBy("candidate").agg(F.count_if(up_to_date).alias("granted"), F.count(F.lit(1)).alias("voters"))
+def vote_grants(requests: DataFrame, voters: list[tuple[int, int, int]]) -> DataFrame:
+    """Votes for each candidate (candidate, last_term, last_index): a voter (its number, last term and last index; voters
+    are few) grants if the candidate's log is at least as up to date."""
+    listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).alias("idx")) for _, t, i in voters])
+    granted = F.size(F.filter(listed, lambda v: up_to_date(F.col("last_term"), F.col("last_index"), v["term"], v["idx"]))).cast("long")
+    tally = requests.groupBy("candidate").agg(F.sum(granted).alias("granted"), F.sum(F.lit(len(voters)).cast("long")).alias("voters"))
     return tally.withColumn("won", F.when(F.col("granted") >= majority(F.col("voters")), 1).otherwise(0))
 
 
-def membership_fold(changes: DataFrame) -> DataFrame:
-    """The voters after each committed change (idx, kind, peer): a join adds, a leave removes. The last change of each
-    peer up to an index decides; each peer's changes are an interval until its next one."""
-    back = Window.partitionBy("peer").orderBy("idx")
-    spans = changes.select("peer", "kind", "idx", F.lead("idx").over(back).alias("until")).filter("kind = 'join'")
-    points = changes.select(F.col("idx").alias("tick")).distinct()
-    met = points.join(spans, (F.col("tick") >= F.col("idx")) & (F.col("until").isNull() | (F.col("tick") < F.col("until"))))
-    return met.groupBy("tick").agg(F.count(F.lit(1)).alias("voters"), F.array_join(F.array_sort(F.collect_set("peer")), ",").alias("members"))
+def up_to_date(last_term: Column, last_index: Column, own_term: Column, own_index: Column) -> Column:
+    return (last_term > own_term) | ((last_term == own_term) & (last_index >= own_index))
+
+
+def membership_fold(changes: DataFrame, peers: list[str]) -> DataFrame:
+    """The voters after each committed change (idx, kind, peer): a join adds, a leave removes. Each peer's last change up
+    to an index decides; ``peers`` are all that there are, and few. Indexes after which nobody is left are left out."""
+    of = [F.when(F.col("peer") == p, F.col("kind")).alias(f"k{i}") for i, p in enumerate(peers)]
+    held = carried(changes.select("idx", *of), [], "idx", [f"k{i}" for i in range(len(peers))])
+    names = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"last_k{i}") == "join", F.lit(p)) for i, p in enumerate(peers)])))
+    return held.select(F.col("idx").alias("tick"), F.size(names).cast("long").alias("voters"), F.array_join(names, ",").alias("members")).filter("voters > 0")
 
 
 def capped_prefix(log: DataFrame, cap: int = APPEND_CAP_BYTES, overhead: int = ENTRY_OVERHEAD_BYTES) -> DataFrame:
@@ -126,19 +148,36 @@ def capped_prefix(log: DataFrame, cap: int = APPEND_CAP_BYTES, overhead: int = E
 
 def greedy_batches(queue: DataFrame, group: str, most: int = BATCH_MAX_ENTRIES, cap: int = BATCH_MAX_BYTES) -> DataFrame:
     """Group commit: proposals (group, pos, bytes) are taken in order until a batch has ``most`` entries or would pass
-    ``cap`` bytes. The fold is sequential within a group, whose queue is bounded by what a leader holds unsent."""
-    row = F.struct(F.col("pos"), F.col("bytes"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<struct<batch:bigint,bytes:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= most) | (a["size"] + x["bytes"] > cap))
-        batch = F.when(full | (a["batch"] == 0), a["batch"] + 1).otherwise(a["batch"])
-        n, size = F.when(full, F.lit(1)).otherwise(a["n"] + 1), F.when(full, x["bytes"]).otherwise(a["size"] + x["bytes"])
-        out = F.concat(a["out"], F.array(F.struct(batch.alias("batch"), x["bytes"].alias("bytes"))))
-        return F.struct(batch.alias("batch"), n.cast("long").alias("n"), size.cast("long").alias("size"), out.alias("out"))
-
-    packed = queue.groupBy(group).agg(F.array_sort(F.collect_list(row)).alias("q")).select(group, F.explode(F.aggregate("q", start, step, lambda a: a["out"])).alias("b"))
-    return packed.groupBy(group, F.col("b.batch").alias("batch")).agg(F.count(F.lit(1)).alias("entries"), F.sum("b.bytes").alias("size"))
+    ``cap`` bytes. Where a batch ends depends on all before it, so a queue streams through one task, in order, and is
+    never held there: what is kept is the open batch. Groups are dealt by their key."""
+    import pyarrow as pa
+
+    ordered = queue.select(F.col(group).cast("long").alias("g"), F.col("pos").cast("long").alias("pos"), F.col("bytes").cast("long").alias("bytes"))
+    ordered = ordered.repartition("g").sortWithinPartitions("g", "pos")
+
+    def pack(batches):
+        done, at, number, n, size, any_yet = [], None, 0, 0, 0, False
+
+        def rows():
+            cols = list(zip(*done, strict=True)) or [(), (), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g", "batch", "entries", "size"])
+
+        for b in batches:
+            for g, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if any_yet and g == at and n < most and size + x <= cap:
+                    n, size = n + 1, size + x
+                    continue
+                if any_yet:
+                    done.append((at, number, n, size))
+                number, n, size = (number + 1 if any_yet and g == at else 1), 1, x
+                at, any_yet = g, True
+            yield rows()
+            done.clear()
+        if any_yet:
+            done.append((at, number, n, size))
+            yield rows()
+
+    return ordered.mapInArrow(pack, "g long, batch long, entries long, size long").withColumnRenamed("g", group)
 
 
 def coalesced_runs(messages: DataFrame) -> DataFrame:
@@ -190,8 +229,12 @@ def has_quorum(acks: Column, voters: Column, joint: Column | None = None) -> Col
     return met(voters) if joint is None else met(voters) & (F.coalesce(F.size(joint), F.lit(0)).isin(0, -1) | met(joint))
 
 
-def match_after_response(next_index: Column, match: Column, reject: Column, acked: Column, hint: Column) -> Column:
-    """(match, next) of a peer after its answer: an accepted append moves both up, a rejected one moves next to the hint."""
-    up = F.greatest(match, acked)
-    back = F.greatest(F.lit(1), F.least(next_index, hint), match + 1)
-    return F.when(reject, F.struct(match.alias("match"), back.alias("next"))).otherwise(F.struct(up.alias("match"), F.greatest(next_index, up + 1).alias("next")))
+def match_after_response(next_index: Column, match: Column, reject: Column, acked: Column, hint: Column, last_index: Column) -> Column:
+    """(match, next) of a peer after its answer. An accepted append above the match moves the match up, to the last index
+    at most, and next right after it; one that proves nothing new changes nothing. A rejected one moves next to a hint
+    that is above 0 and below next, else back by one, but never to what is matched."""
+    matched = F.least(acked, last_index)
+    new = acked > match
+    back = F.when((hint > 0) & (hint < next_index), hint).when(next_index > 1, next_index - 1).otherwise(next_index)
+    accepted = F.struct(F.when(new, matched).otherwise(match).alias("match"), F.when(new, matched + 1).otherwise(next_index).alias("next"))
+    return F.when(reject, F.struct(match.alias("match"), F.greatest(F.lit(1).cast("long"), back, match + 1).alias("next"))).otherwise(accepted)

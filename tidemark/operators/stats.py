@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import running_sum, with_prefix
+
 QUANTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 OFFICIAL_RUNS = 5
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """Element ceil(q n) of the sorted values; 0 without values."""
-    return F.coalesce(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})"), F.lit(0.0))
+def order_statistics(df: DataFrame, group: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Elements of each group's sorted values, exactly: ``ranks`` gives, by name, the place (from 1) as a function of how
+    many values there are. Equal values are counted first; the counts are summed along the values by blocks, so that
+    no task holds a group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    along = running_sum(counts, group, value, "_c", "_upto")
+    total = counts.groupBy(*group).agg(F.sum("_c").alias("_all"))
+    met = with_prefix(along, total, group, "_all")
+    return met.groupBy(*group).agg(*[F.min(F.when(F.col("_upto") >= place(F.col("_all")), F.col(value))).alias(n) for n, place in ranks.items()])
+
+
+def nearest(q: float) -> Callable[[Column], Column]:
+    """The nearest-rank percentile: element ceil(q n)."""
+    return lambda n: F.greatest(F.ceil(n * F.lit(q)), F.lit(1).cast("long"))
 
 
 def latency(ops: DataFrame, *group: str) -> DataFrame:
     """Nearest-rank percentiles and the largest latency of the operations that succeeded."""
-    return ops.filter("ok").groupBy(*group).agg(*[nearest_rank("latency", q).alias(n) for n, q in QUANTILES.items()], F.max("latency").alias("max"))
+    return order_statistics(ops.filter("ok"), list(group), "latency", {**{n: nearest(q) for n, q in QUANTILES.items()}, "max": lambda n: n})
 
 
 def window(ops: DataFrame, start: str, end: str, seconds: float, *group: str) -> DataFrame:
@@ -26,10 +41,19 @@ def window(ops: DataFrame, start: str, end: str, seconds: float, *group: str) ->
     return inside.groupBy(*group).agg(ok.alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))).alias("retries"), F.round(ok / F.lit(seconds), 6).alias("throughput"))
 
 
-def describe(value: str, where: Column | None = None) -> list[Column]:
-    """median (mean of the middle two), min and max; zeros without values."""
-    v = F.col(value) if where is None else F.when(where, F.col(value))
-    return [F.coalesce(f(v), F.lit(0.0)).alias(f"{value}_{n}") for n, f in (("median", F.median), ("min", F.min), ("max", F.max))]
+def describe(df: DataFrame, group: list[str], values: list[str], counts: list[Column], where: dict[str, Column] | None = None) -> DataFrame:
+    """By group: the ``counts``, and of each value its median (mean of the middle two), min and max over the rows that meet
+    the value's condition; zeros without values."""
+    always = F.lit(True)
+    pairs = [F.struct(F.lit(v).alias("stat"), F.when((where or {}).get(v, always), F.col(v).cast("double")).alias("v")) for v in values]
+    long = df.select(*group, F.explode(F.array(*pairs)).alias("p")).select(*group, F.col("p.stat").alias("_stat"), F.col("p.v").alias("_v"))
+    places = {"_a": lambda n: F.floor((n + 1) / 2), "_b": lambda n: F.floor(n / 2) + 1, "_lo": lambda n: F.lit(1), "_hi": lambda n: n}
+    found = order_statistics(long, [*group, "_stat"], "_v", places)
+    of = {"median": (F.col("_a") + F.col("_b")) / 2, "min": F.col("_lo"), "max": F.col("_hi")}
+    wide = found.groupBy(*group).agg(*[F.max(F.when(F.col("_stat") == v, c)).alias(f"{v}_{n}") for v in values for n, c in of.items()])
+    names = [f"{v}_{n}" for v in values for n in of]
+    base = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"), *counts)
+    return with_prefix(base, wide, group, *names, how="left").drop("_rows").fillna(0.0, names)
 
 
 def counter_deltas(readings: DataFrame) -> DataFrame:
@@ -57,14 +81,54 @@ def run_validity(statuses: DataFrame) -> DataFrame:
     return ends.select("node", F.when(F.col("first_term") == F.col("last_term"), 1).otherwise(0).alias("valid"), F.greatest(F.lit(0), F.col("last_term") - F.col("first_term")).alias("elections"), F.greatest(F.lit(0), F.col("hi") - F.col("lo")).alias("committed"))
 
 
+def window_outcome(starts: DataFrame, ends: DataFrame, group: str) -> DataFrame:
+    """Of each run whether it counts, and why not: the statuses (node, term, commit_index) read at its window's start and
+    end must be as many, and no node's term may change. The elections within the window and the entries committed are
+    the growth of the highest term and commit index over all nodes, 0 at least."""
+    side = lambda d, x: d.select(group, "node", F.col("term").alias(f"{x}_term"), F.col("commit_index").alias(f"{x}_commit"))
+    both = side(starts, "s").join(side(ends, "e"), [group, "node"], "full_outer")
+    changed = F.col("s_term") != F.col("e_term")
+    first = F.min(F.when(changed, F.struct("node", "s_term", "e_term")))
+    out = both.groupBy(group).agg(F.count("s_term").alias("n_s"), F.count("e_term").alias("n_e"), first.alias("first"), *[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("s_term", "e_term", "s_commit", "e_commit")])
+    words = lambda *xs: F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in xs])
+    text = lambda c: F.col(c).cast("string")
+    reason = F.when(F.col("n_s") != F.col("n_e"), words(text("n_s"), " terms at the start, ", text("n_e"), " at the end")).when(F.col("first").isNotNull(), words("node ", text("first.node"), ": term ", text("first.s_term"), " to ", text("first.e_term")))
+    grown = lambda x: F.greatest(F.lit(0), F.col(f"e_{x}") - F.col(f"s_{x}"))
+    return out.select(group, reason.isNull().alias("valid"), F.coalesce(reason, F.lit("")).alias("reason"), grown("term").alias("elections"), grown("commit").alias("committed"))
+
+
 def summarize(runs: DataFrame) -> DataFrame:
-    """By number of clients: how many runs, how many valid, and the valid ones' throughput."""
-    return runs.groupBy("clients").agg(F.count(F.lit(1)).alias("runs"), F.count_if("valid").alias("valid_runs"), *describe("throughput", F.col("valid")))
+    """By number of clients: how many runs, valid and not; the valid ones' throughput and latency; and over all runs whose
+    failover probe succeeded, valid or not, how long it took."""
+    valid, probed = F.col("valid"), F.coalesce(F.col("failover_ok"), F.lit(False))
+    counts = [F.count(F.lit(1)).alias("runs"), F.count_if(valid).alias("valid_runs"), F.count_if(~valid).alias("invalid_runs"), F.count_if(probed).alias("probes_ok"), F.count_if(~F.col("failover_ok")).alias("probes_failed")]
+    own, failover = ["throughput", "p50", "p99"], ["failover_ms", "after_close_ms"]
+    return describe(runs, ["clients"], own + failover, counts, {**{v: valid for v in own}, **{v: probed for v in failover}})
+
+
+#: What a cell describes of its valid runs; send failures only of runs that recorded both kinds.
+CELL = ["throughput", "p99", "syncs", "per_sync", "appends", "ack_resends", "send_deadline", "send_other"]
 
 
 def cells(runs: DataFrame) -> DataFrame:
-    """By arm and number of clients."""
-    return runs.groupBy("arm", "clients").agg(F.count_if("valid").alias("valid_runs"), *describe("throughput", F.col("valid")))
+    """By arm and number of clients: runs valid and not, and eight statistics over the valid ones."""
+    valid = F.col("valid")
+    recorded = valid & F.col("send_deadline").isNotNull() & F.col("send_other").isNotNull()
+    counts = [F.count_if(valid).alias("valid_runs"), F.count_if(~valid).alias("invalid_runs"), F.count_if(recorded).alias("send_recorded")]
+    return describe(runs, ["arm", "clients"], CELL, counts, {v: recorded if v.startswith("send_") else valid for v in CELL})
+
+
+def in_declared_order(cells: DataFrame, arms: list[str]) -> DataFrame:
+    """Cells by number of clients, then by the arm's declared place (from 1). An undeclared arm is an error."""
+    known = F.array(*map(F.lit, arms))
+    place = F.array_position(known, F.col("arm"))
+    checked = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("undeclared arm "), F.col("arm"))))
+    return cells.withColumn("place", checked.cast("long")).orderBy("clients", "place")
+
+
+def label(runs: DataFrame) -> DataFrame:
+    """official if there are runs and all are, else secondary: one row."""
+    return runs.agg(F.coalesce(F.bool_and(F.coalesce(F.col("label") == "official", F.lit(False))), F.lit(False)).alias("all")).select(F.when(F.col("all"), "official").otherwise("secondary").alias("label"))
 
 
 def meaningful(a: str, b: str) -> Column:
@@ -72,13 +136,25 @@ def meaningful(a: str, b: str) -> Column:
     return (F.col(f"{a}_max") < F.col(f"{b}_min")) | (F.col(f"{b}_max") < F.col(f"{a}_min"))
 
 
-def compare(runs: DataFrame, reference: str) -> DataFrame:
-    """Each arm against the reference arm, for each number of clients."""
+def compare(runs: DataFrame, arms: list[str], reference: str | None = None) -> DataFrame:
+    """Each other declared arm against the reference arm (the first, unless named) for each number of clients that has
+    runs. An arm without runs has no valid ones: insufficient, and its ratios are 0."""
+    reference = arms[0] if reference is None else reference
+    if reference not in arms:
+        raise ValueError(f"{reference} isn't a declared arm")
     c = cells(runs)
-    base = c.filter(F.col("arm") == reference).select("clients", F.col("valid_runs").alias("r_runs"), *[F.col(f"throughput_{x}").alias(f"r_{x}") for x in ("median", "min", "max")])
-    arms = c.filter(F.col("arm") != reference).select("arm", "clients", F.col("valid_runs").alias("a_runs"), *[F.col(f"throughput_{x}").alias(f"a_{x}") for x in ("median", "min", "max")])
-    enough = (F.col("a_runs") >= OFFICIAL_RUNS) & (F.col("r_runs") >= OFFICIAL_RUNS)
-    return arms.join(base, "clients").select("arm", "clients", F.round(ratio(F.col("a_median"), F.col("r_median")), 6).alias("ratio"), F.when(enough, 0).otherwise(1).alias("insufficient"), F.when(enough & meaningful("a", "r"), 1).otherwise(0).alias("meaningful"))
+    names = ["valid_runs", *[f"{v}_{n}" for v in ("throughput", "appends", "p99") for n in ("median", "min", "max")]]
+    side = lambda x: c.select(F.col("clients").alias(f"{x}_clients"), F.col("arm").alias(f"{x}_arm"), *[F.col(n).alias(f"{x}_{n}") for n in names])
+    others = F.array(*[F.lit(a) for a in arms if a != reference]).cast("array<string>")
+    grid = c.select("clients").distinct().select("clients", F.explode(others).alias("arm"))
+    base = side("r").filter(F.col("r_arm") == reference)
+    met = grid.join(base, F.col("clients") == F.col("r_clients"), "left").join(side("a"), (F.col("arm") == F.col("a_arm")) & (F.col("clients") == F.col("a_clients")), "left")
+    met = met.fillna(0, [f"{x}_{n}" for x in "ar" for n in names])
+    enough = (F.col("a_valid_runs") >= OFFICIAL_RUNS) & (F.col("r_valid_runs") >= OFFICIAL_RUNS)
+    some = (F.col("a_valid_runs") > 0) & (F.col("r_valid_runs") > 0)
+    of = lambda v: F.when(some, ratio(F.col(f"a_{v}_median"), F.col(f"r_{v}_median"))).otherwise(0.0)
+    apart = lambda v: F.when(enough & meaningful(f"a_{v}", f"r_{v}"), 1).otherwise(0)
+    return met.select("arm", "clients", F.col("r_valid_runs").alias("base_runs"), F.col("a_valid_runs").alias("other_runs"), F.round(of("throughput"), 6).alias("ratio"), F.round(of("appends"), 6).alias("appends_ratio"), F.when(enough, 0).otherwise(1).alias("insufficient"), apart("throughput").alias("meaningful"), apart("appends").alias("appends_meaningful"), apart("p99").alias("p99_meaningful"))
 
 
 def pairwise(runs: DataFrame) -> DataFrame:
@@ -89,6 +165,31 @@ def pairwise(runs: DataFrame) -> DataFrame:
     return a.join(b, "clients").filter("a < b").select("clients", "a", "b", F.when(meaningful("a", "b"), 1).otherwise(0).alias("meaningful"))
 
 
+def result(ops: DataFrame, seconds: str, *group: str) -> DataFrame:
+    """Of a workload's operations (value latency; ``seconds``: the wall time, one a group): operations a second and
+    nearest-rank latencies."""
+    rate = ops.groupBy(*group).agg(F.count(F.lit(1)).alias("operations"), F.max(seconds).alias("_s"))
+    return with_prefix(rate.withColumn("per_second", F.round(ratio(F.col("operations"), F.col("_s")), 6)).drop("_s"), latency(ops.withColumn("ok", F.lit(True)), *group), list(group), *QUANTILES, "max")
+
+
+def sync_samples(samples: DataFrame, value: str, *group: str) -> DataFrame:
+    """How many samples of a sync's duration there are, and their nearest-rank p50 and p99."""
+    n = samples.groupBy(*group).agg(F.count(value).alias("samples"))
+    return with_prefix(n, order_statistics(samples, list(group), value, {"p50": nearest(0.5), "p99": nearest(0.99)}), list(group), "p50", "p99")
+
+
+def failover(probes: DataFrame) -> DataFrame:
+    """From when the leader's stop began, was done, and the first write succeeded (times): milliseconds from stop to write,
+    of the stop, and after it; ok where the probe has no error."""
+    ms = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1000
+    return probes.withColumns({"ok": F.col("error").isNull(), "failover_ms": ms("stop_start", "done"), "close_ms": ms("stop_start", "closed"), "after_close_ms": ms("closed", "done")})
+
+
+def sweep(rows: DataFrame) -> DataFrame:
+    """Runs by duration, arm, clients and repetition, with the share of appends that were resends of answers."""
+    return rows.withColumn("share", share(F.col("ack_resends"), F.col("appends"))).orderBy("duration", "arm", "clients", "repetition")
+
+
 def workloads(ops: DataFrame, group: list[str], order: str) -> DataFrame:
     """Groups in the order in which they were first seen."""
     return ops.groupBy(*group).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("operations"))

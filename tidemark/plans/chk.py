@@ -20,7 +20,7 @@ def _arms(spark, sf):
 
 def _fields(spark, sf):
     e = D.table(spark, sf, "events")
-    return e.select(F.when(F.col("event_id") % 50 == 0, " ").otherwise(F.col("event_type")).alias("filesystem"), F.when(F.col("event_id") % 77 == 0, "unknown").otherwise("linux").alias("os"), F.col("user_id").alias("cpu_count"))
+    return e.select(F.when(F.col("event_id") % 50 == 0, " ").otherwise(F.col("event_type")).alias("filesystem"), F.when(F.col("event_id") % 77 == 0, "unknown").when(F.col("event_id") % 91 == 0, " unknown").when(F.col("event_id") % 95 == 0, "\t").otherwise("linux").alias("os"), F.col("user_id").alias("cpu_count"))
 
 
 def _lists():
@@ -44,9 +44,9 @@ ORACLES = {
   list_distinct(regexp_extract_all(text, '(?:/home/|/Users/)[^/"\s\\]+|/root(?:/|"|$)')) AS h FROM documents),
 g AS (SELECT doc_id, len(v4) AS ipv4, len(v6) AS ipv6, len(h) AS homes, len(list_filter(v4 || v6, lambda x: starts_with(x, '127.') OR x = '0.0.0.0' OR regexp_full_match(x, '[0:]*:0{0,3}[01]|::'))) AS loopback FROM f)
 SELECT *, CASE WHEN ipv4 + ipv6 > loopback OR homes > 0 THEN 'FAIL' WHEN loopback > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM g""",
-    "chk_required_fields": """WITH f AS (SELECT CASE WHEN event_id % 50 = 0 THEN ' ' ELSE event_type END AS filesystem, CASE WHEN event_id % 77 = 0 THEN 'unknown' ELSE 'linux' END AS os, CAST(user_id AS VARCHAR) AS cpu_count FROM events),
+    "chk_required_fields": """WITH f AS (SELECT CASE WHEN event_id % 50 = 0 THEN ' ' ELSE event_type END AS filesystem, CASE WHEN event_id % 77 = 0 THEN 'unknown' WHEN event_id % 91 = 0 THEN ' unknown' WHEN event_id % 95 = 0 THEN chr(9) ELSE 'linux' END AS os, CAST(user_id AS VARCHAR) AS cpu_count FROM events),
 u AS (SELECT 'filesystem' AS field, filesystem AS v FROM f UNION ALL SELECT 'os', os FROM f UNION ALL SELECT 'cpu_count', cpu_count FROM f)
-SELECT field, count(*) FILTER (WHERE v IS NULL OR trim(v) IN ('', 'unknown')) AS missing, CASE WHEN count(*) FILTER (WHERE v IS NULL OR trim(v) IN ('', 'unknown')) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM u GROUP BY field""",
+SELECT field, count(*) FILTER (WHERE v IS NULL OR v = 'unknown' OR NOT regexp_matches(v, '\\S')) AS missing, CASE WHEN count(*) FILTER (WHERE v IS NULL OR v = 'unknown' OR NOT regexp_matches(v, '\\S')) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM u GROUP BY field""",
     "chk_arm_match": """WITH s AS (SELECT s_suppkey AS id, 'arm' || CAST(s_suppkey AS VARCHAR) AS arm, sha1(CAST(s_suppkey AS VARCHAR)) AS sha FROM supplier),
 d AS (SELECT arm, sha AS c FROM s WHERE id % 7 <> 0), f AS (SELECT arm, CASE WHEN id % 11 = 0 THEN reverse(sha) ELSE left(sha, 9) END AS x FROM s WHERE id % 5 <> 0)
 SELECT coalesce(d.arm, f.arm) AS arm, CASE WHEN x IS NULL THEN 'missing' WHEN c IS NULL THEN 'undeclared' WHEN starts_with(c, x) THEN 'ok' ELSE 'other commit' END AS status FROM d FULL JOIN f ON d.arm = f.arm""",

@@ -16,10 +16,11 @@ def _asked(spark):
     return spark.range(0, 900, 3).select(F.col("id").cast("string").alias("key"))
 
 
-def _windows(spark):
-    """Windows of a hundred keys over the banded log."""
+def _windows(spark, sf):
+    """Overlapping windows of a hundred keys, over all keys of the banded log."""
     low = F.col("id") * 40
-    return spark.range(0, 80).select("id", F.lpad(low.cast("string"), 9, "0").alias("low"), F.lpad((low + 99).cast("string"), 9, "0").alias("high"))
+    ids = D.table(spark, sf, "events").select(F.floor(F.col("event_id") / 120).cast("long").alias("id")).distinct()
+    return ids.select("id", F.lpad(low.cast("string"), 9, "0").alias("low"), F.lpad((low + 99).cast("string"), 9, "0").alias("high"))
 
 
 def _wal_tail(spark, sf):
@@ -33,12 +34,12 @@ QUERIES = {
     "kv_multi_get": lambda s, d: lww.multi_get(D.mutation_log(s, d), _KEYS),
     "kv_scan_range": lambda s, d: lww.scan(D.mutation_log(s, d), "10", "25"),
     "kv_scan_reversed_bounds": lambda s, d: lww.scan(D.mutation_log(s, d), "25", "10"),
-    "kv_scan_windows": lambda s, d: lww.range_scans(D.banded_log(s, d), _windows(s)),
+    "kv_scan_windows": lambda s, d: lww.range_scans(D.banded_log(s, d), _windows(s, d)),
     "kv_missing_keys": lambda s, d: lww.missing(_asked(s), D.mutation_log(s, d)),
     "kv_present_keys": lambda s, d: lww.present(_asked(s), D.mutation_log(s, d)),
     "kv_tombstones": lambda s, d: lww.tombstones(D.mutation_log(s, d)),
     "kv_as_of": lambda s, d: lww.as_of(D.mutation_log(s, d), 5000),
-    "kv_history": lambda s, d: lww.history(D.mutation_log(s, d)).filter("age <= 3").select("key", "seq", "op", "age"),
+    "kv_history": lambda s, d: lww.history(D.mutation_log(s, d)).select("key", "seq", "op", "age"),
     "kv_version_counts": lambda s, d: lww.version_counts(D.mutation_log(s, d)),
     "kv_segment_stats": lambda s, d: segments.stats(D.mutation_log(s, d)),
     "kv_segment_overlap": lambda s, d: segments.overlaps(D.banded_log(s, d)),
@@ -74,13 +75,13 @@ ORACLES = {
     "kv_scan_reversed_bounds": _V(LIVE + " SELECT * FROM live WHERE key >= '25' AND key <= '10'", "mlog"),
     "kv_scan_windows": _V(
         "live AS (SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM banded) WHERE r = 1 AND op = 0), "
-        "w AS (SELECT range AS id, lpad(CAST(range * 40 AS VARCHAR), 9, '0') AS low, lpad(CAST(range * 40 + 99 AS VARCHAR), 9, '0') AS high FROM range(80)) "
+        "w AS (SELECT range AS id, lpad(CAST(range * 40 AS VARCHAR), 9, '0') AS low, lpad(CAST(range * 40 + 99 AS VARCHAR), 9, '0') AS high FROM (SELECT DISTINCT event_id // 120 AS range FROM events)) "
         "SELECT id, key, value, seq FROM w JOIN live ON key >= low AND key <= high", "banded"),
     "kv_missing_keys": _V(LIVE + ", q AS (SELECT CAST(range AS VARCHAR) AS key FROM range(0, 900, 3)) SELECT key FROM q WHERE key NOT IN (SELECT key FROM live)", "mlog"),
     "kv_present_keys": _V(LIVE + ", q AS (SELECT CAST(range AS VARCHAR) AS key FROM range(0, 900, 3)) SELECT key FROM q WHERE key IN (SELECT key FROM live)", "mlog"),
     "kv_tombstones": _V("SELECT key, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM mlog) WHERE r = 1 AND op = 1", "mlog"),
     "kv_as_of": _V("SELECT key, value, seq FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM mlog WHERE seq <= 5000) WHERE r = 1 AND op = 0", "mlog"),
-    "kv_history": _V("SELECT key, seq, op, age FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS age FROM mlog) WHERE age <= 3", "mlog"),
+    "kv_history": _V("SELECT key, seq, op, age FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS age FROM mlog)", "mlog"),
     "kv_version_counts": _V("SELECT key, count(*) AS versions, CAST(sum(op) AS BIGINT) AS deletes, min(seq) AS first_seq, max(seq) AS last_seq FROM mlog GROUP BY key", "mlog"),
     "kv_segment_stats": _V("SELECT seg, min(key) AS min_key, max(key) AS max_key, count(*) AS records, count(DISTINCT key) AS keys, max(seq) AS max_seq FROM mlog GROUP BY seg", "mlog"),
     "kv_segment_overlap": _V("b AS (SELECT seg, min(key) AS lo, max(key) AS hi FROM banded GROUP BY seg) SELECT x.seg AS left_id, y.seg AS right_id FROM b x JOIN b y ON x.seg < y.seg AND x.lo <= y.hi AND y.lo <= x.hi", "banded"),

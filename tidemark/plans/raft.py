@@ -14,7 +14,8 @@ def _messages(spark, sf):
     """Append messages, one for each ten log entries, and their entries, some of them malformed."""
     e = F.col("event_id")
     events = D.table(spark, sf, "events")
-    heads = events.filter(e % 10 == 0).select(e.alias("msg"), e.alias("prev_index"), (1 + F.floor(e / 2500)).cast("long").alias("prev_term"), F.when(e % 170 == 0, 0).otherwise(1 + F.floor((e + 9) / 2500)).cast("long").alias("term"))
+    m = F.col("msg")
+    heads = events.select((e - e % 10).alias("msg")).distinct().select("msg", m.alias("prev_index"), (1 + F.floor(m / 2500)).cast("long").alias("prev_term"), F.when(m % 170 == 0, 0).otherwise(1 + F.floor((m + 9) / 2500)).cast("long").alias("term"))
     msg = (e - e % 10).alias("msg")
     term = F.when(e % 1103 == 0, 0).when(e % 211 == 0, F.floor(e / 2500)).otherwise(1 + F.floor(e / 2500)).cast("long").alias("entry_term")
     entries = events.select(msg, (e % 10).alias("pos"), F.when(e % 131 == 0, e + 2).otherwise(e + 1).alias("idx"), term, F.when(e % 307 == 0, 5_000_000).otherwise(F.length("props")).cast("long").alias("bytes"))
@@ -28,50 +29,92 @@ def _recovered(spark, sf):
 
 
 def _requests(spark, sf):
+    """Vote requests, one for each event."""
     e = F.col("event_id")
-    return D.table(spark, sf, "events").filter(e % 50 == 0).select(e.alias("candidate"), (1 + F.floor(e / 2500)).cast("long").alias("last_term"), (e % 5000).alias("last_index"))
+    return D.table(spark, sf, "events").select(e.alias("candidate"), (1 + F.floor(e / 2500)).cast("long").alias("last_term"), (e % 5000).alias("last_index"))
 
 
-def _voters(spark):
-    return spark.createDataFrame([(i, 1 + i % 3, 900 * i) for i in range(1, 6)], "voter long, term long, idx long")
+_VOTERS = [(i, 1 + i % 3, 900 * i) for i in range(1, 6)]
+_PEERS = [f"n{i}" for i in range(7)]
 
 
 def _changes(spark, sf):
     """Membership changes: peers join and leave in turn."""
     e = F.col("event_id")
-    return D.table(spark, sf, "events").filter(e % 100 == 0).select(e.alias("idx"), F.when((e / 100).cast("long") % 3 == 2, "leave").otherwise("join").alias("kind"), F.concat(F.lit("n"), (F.col("user_id") % 7).cast("string")).alias("peer"))
+    return D.table(spark, sf, "events").select(e.alias("idx"), F.when(e % 3 == 2, "leave").otherwise("join").alias("kind"), F.concat(F.lit("n"), (F.col("user_id") % 7).cast("string")).alias("peer"))
+
+
+def _leaders(spark, sf):
+    """Each group's leader: its term, commit index and last index; and its log. Some leaders are in a newer term than any entry."""
+    m = D.match_table(spark, sf)
+    e = F.col("event_id")
+    last = m.groupBy("grp").agg(F.max("matched").alias("last_index"))
+    term = (1 + F.floor(F.col("last_index") / 1000) + F.when(F.col("grp") % 5 == 0, 1).otherwise(0)).cast("long")
+    states = last.select("grp", term.alias("term"), F.when(F.col("grp") % 7 == 0, F.col("last_index")).otherwise(3).cast("long").alias("commit_index"), "last_index")
+    log = D.table(spark, sf, "events").select((F.col("user_id") % 50).alias("grp"), e.alias("idx"), (1 + F.floor(e / 1000)).cast("long").alias("entry_term"))
+    return m, log, states
+
+
+def _quorum_commit(spark, sf):
+    m, log, states = _leaders(spark, sf)
+    return raftlog.committed(raftlog.quorum_index(m).select("grp", "candidate"), log, states).select("grp", "term", "commit_index")
+
+
+def _joint_commit(spark, sf):
+    m, log, states = _leaders(spark, sf)
+    return raftlog.committed(raftlog.joint_index(m, _SIDES), log, states).select("grp", "commit_index")
+
+
+def _broken_log(spark, sf):
+    """Logs of which one lacks an index, and one has an index twice and lacks another."""
+    log = D.replica_log(spark, sf).filter("NOT (node = 2 AND idx = 500) AND NOT (node = 3 AND idx = 600)")
+    return log.unionByName(log.filter("node = 3 AND idx = 700"))
+
+
+def _responses(spark, sf):
+    """Answers to appends: hints of 0, at and above next, stale ones, and acknowledgements beyond the last index."""
+    e, u = F.col("event_id"), F.col("user_id")
+    hint = F.when(u % 4 == 0, 0).when(u % 4 == 1, e + u % 12).otherwise(e - u % 40)
+    p = raftlog.match_after_response(e + 5, e - u % 9, F.col("event_type") == "error", e + u % 14 - 5, hint, e + 6)
+    return D.table(spark, sf, "events").select("event_id", p.alias("p")).select("event_id", "p.match", "p.next")
 
 
 QUERIES = {
-    "raft_quorum_commit": lambda s, d: raftlog.quorum_commit(D.match_table(s, d)),
-    "raft_joint_commit": lambda s, d: raftlog.joint_commit(D.match_table(s, d), s.createDataFrame(_SIDES, "side string, peer string")),
+    "raft_quorum_commit": _quorum_commit,
+    "raft_joint_commit": _joint_commit,
     "raft_log_conflict": lambda s, d: raftlog.first_conflict(D.replica_log(s, d)),
     "raft_conflict_hint": lambda s, d: raftlog.conflict_hint(D.replica_log(s, d)),
     "raft_malformed": lambda s, d: raftlog.malformed(*_messages(s, d)).select("msg", "pos", F.coalesce("reason", F.lit("none")).alias("reason")),
-    "raft_contiguity": lambda s, d: raftlog.contiguity(D.replica_log(s, d).filter("NOT (node = 2 AND idx = 500)")),
+    "raft_contiguity": lambda s, d: raftlog.contiguity(_broken_log(s, d)),
     "raft_replication_lag": lambda s, d: raftlog.replication_lag(D.match_table(s, d)),
     "raft_role_transitions": lambda s, d: raftlog.role_transitions(D.statuses(s, d)),
-    "raft_vote_grants": lambda s, d: raftlog.vote_grants(_requests(s, d), _voters(s)),
-    "raft_membership_fold": lambda s, d: raftlog.membership_fold(_changes(s, d)),
+    "raft_vote_grants": lambda s, d: raftlog.vote_grants(_requests(s, d), _VOTERS),
+    "raft_membership_fold": lambda s, d: raftlog.membership_fold(_changes(s, d), _PEERS),
     "raft_capped_batch": lambda s, d: raftlog.capped_prefix(D.replica_log(s, d), cap=20_000),
     "raft_greedy_batches": lambda s, d: raftlog.greedy_batches(D.table(s, d, "events").select(F.floor(F.col("event_id") / 500).cast("long").alias("grp"), F.col("event_id").alias("pos"), F.length("props").cast("long").alias("bytes")), "grp", most=64, cap=600),
     "raft_coalesce_runs": lambda s, d: raftlog.coalesced_runs(D.table(s, d, "events").select(F.col("event_id").alias("tick"), F.col("event_type").alias("sender"))),
     "raft_valid_prefix": lambda s, d: raftlog.valid_prefix(_recovered(s, d), 100),
     "raft_after_snapshot": lambda s, d: raftlog.after_snapshot(D.replica_log(s, d), 997, 1).groupBy("node").agg(F.count(F.lit(1)).alias("entries"), F.min("idx").alias("first_idx")),
     "raft_quorum_check": lambda s, d: D.match_table(s, d).groupBy("grp").agg(F.collect_set(F.when(F.col("matched") > 400, F.col("peer"))).alias("acks")).select("grp", F.when(raftlog.has_quorum(F.col("acks"), F.array(*map(F.lit, ("click", "view", "error"))), F.array(*map(F.lit, ("click", "purchase", "signup", "missing")))), 1).otherwise(0).alias("quorum")),
-    "raft_append_response": lambda s, d: D.table(s, d, "events").select("event_id", raftlog.match_after_response(F.col("event_id") + 5, F.col("event_id") - F.col("user_id") % 9, F.col("event_type") == "error", F.col("event_id") + F.col("user_id") % 4, F.col("event_id") - F.col("user_id") % 40).alias("p")).select("event_id", "p.match", "p.next"),
+    "raft_append_response": _responses,
     "raft_term_runs": lambda s, d: raftlog.term_runs(D.replica_log(s, d)),
     "raft_commit_regressions": lambda s, d: raftlog.monotone_commit(D.statuses(s, d)),
 }
 
-_VOTERS = "v(voter, term, idx) AS (VALUES (1, 2, 900), (2, 3, 1800), (3, 1, 2700), (4, 2, 3600), (5, 3, 4500))"
+_V_SQL = "v(voter, term, idx) AS (VALUES (1, 2, 900), (2, 3, 1800), (3, 1, 2700), (4, 2, 3600), (5, 3, 4500))"
+_STATES = """st AS (SELECT grp, 1 + max(matched) // 1000 + CASE WHEN grp % 5 = 0 THEN 1 ELSE 0 END AS term, CASE WHEN grp % 7 = 0 THEN max(matched) ELSE 3 END AS commit_index, max(matched) AS last_index FROM matches GROUP BY grp),
+lg AS (SELECT user_id % 50 AS grp, event_id AS idx, 1 + event_id // 1000 AS entry_term FROM events)"""
 _V = D.with_views
 ORACLES = {
-    "raft_quorum_commit": _V("r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY matched DESC) AS r, count(*) OVER (PARTITION BY grp) AS n FROM matches) SELECT grp, n AS peers, matched AS commit_index FROM r WHERE r = n // 2 + 1", "matches"),
-    "raft_joint_commit": _V("s(side, peer) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SIDES) + """),
-f AS (SELECT g.grp, side, s.peer, coalesce(matched, 0) AS matched FROM (SELECT DISTINCT grp FROM matches) g CROSS JOIN s LEFT JOIN matches m ON m.grp = g.grp AND m.peer = s.peer),
-r AS (SELECT *, row_number() OVER (PARTITION BY grp, side ORDER BY matched DESC) AS r, count(*) OVER (PARTITION BY grp, side) AS n FROM f)
-SELECT grp, min(matched) AS commit_index FROM r WHERE r = n // 2 + 1 GROUP BY grp""", "matches"),
+    # the definition itself: of all log entries of the leader's term that enough peers have, the last, if above the commit index
+    "raft_quorum_commit": _V(_STATES + """,
+ok AS (SELECT l.grp, l.idx FROM lg l JOIN st USING (grp) WHERE l.entry_term = st.term AND (SELECT count(*) FROM matches m WHERE m.grp = l.grp AND m.matched >= l.idx) >= (SELECT count(*) // 2 + 1 FROM matches m WHERE m.grp = l.grp))
+SELECT st.grp, st.term, greatest(st.commit_index, coalesce(max(ok.idx), 0)) AS commit_index FROM st LEFT JOIN ok USING (grp) GROUP BY st.grp, st.term, st.commit_index""", "matches"),
+    "raft_joint_commit": _V(_STATES + ", s(side, peer) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _SIDES) + """),
+ok AS (SELECT l.grp, l.idx FROM lg l JOIN st USING (grp) WHERE l.entry_term = st.term
+  AND (SELECT count(*) FROM matches m JOIN s ON s.peer = m.peer AND s.side = 'old' WHERE m.grp = l.grp AND m.matched >= l.idx) >= 2
+  AND (SELECT count(*) FROM matches m JOIN s ON s.peer = m.peer AND s.side = 'new' WHERE m.grp = l.grp AND m.matched >= l.idx) >= 3)
+SELECT st.grp, greatest(st.commit_index, coalesce(max(ok.idx), 0)) AS commit_index FROM st LEFT JOIN ok USING (grp) GROUP BY st.grp, st.commit_index""", "matches"),
     "raft_log_conflict": _V("SELECT f.node, min(f.idx) AS truncate_from, count(*) AS conflicts FROM rlog f JOIN rlog l ON l.node = 1 AND f.node <> 1 AND f.idx = l.idx AND f.term <> l.term GROUP BY f.node", "rlog"),
     "raft_conflict_hint": _V("""c AS (SELECT f.node, min(f.idx) AS tick FROM rlog f JOIN rlog l ON l.node = 1 AND f.node <> 1 AND f.idx = l.idx AND f.term <> l.term GROUP BY f.node),
 i AS (SELECT node, idx, term, idx - row_number() OVER (PARTITION BY node, term ORDER BY idx) AS island FROM rlog)
@@ -85,14 +128,19 @@ SELECT h.msg, min(pos) FILTER (WHERE reason IS NOT NULL) AS pos, coalesce(arg_mi
     "raft_valid_prefix": "SELECT event_id AS place, event_id + 1 AS idx FROM events WHERE event_id < 812 AND event_id + 1 > 100",
     "raft_after_snapshot": _V("SELECT node, count(*) AS entries, min(idx) AS first_idx FROM rlog WHERE idx > 997 AND node IN (SELECT node FROM rlog WHERE idx = 997 AND term = 1) GROUP BY node", "rlog"),
     "raft_quorum_check": _V("g AS (SELECT grp, count(*) FILTER (WHERE matched > 400 AND peer IN ('click', 'view', 'error')) AS a, count(*) FILTER (WHERE matched > 400 AND peer IN ('click', 'purchase', 'signup', 'missing')) AS b FROM matches GROUP BY grp) SELECT grp, CASE WHEN a >= 2 AND b >= 3 THEN 1 ELSE 0 END AS quorum FROM g", "matches"),
-    "raft_append_response": "WITH r AS (SELECT event_id, event_id + 5 AS nx, event_id - user_id % 9 AS m, event_type = 'error' AS rej, event_id + user_id % 4 AS acked, event_id - user_id % 40 AS hint FROM events) SELECT event_id, CASE WHEN rej THEN m ELSE greatest(m, acked) END AS match, CASE WHEN rej THEN greatest(1, least(nx, hint), m + 1) ELSE greatest(nx, greatest(m, acked) + 1) END AS next FROM r",
-    "raft_contiguity": _V("l AS (SELECT * FROM rlog WHERE NOT (node = 2 AND idx = 500)) SELECT node, CASE WHEN (SELECT count(DISTINCT idx - r) FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS r FROM l y WHERE y.node = x.node)) = 1 THEN 1 ELSE 0 END AS contiguous, min(idx) AS first_idx, max(idx) AS last_idx, arg_max(term, idx) AS last_term FROM l x GROUP BY node", "rlog"),
+    "raft_append_response": """WITH r AS (SELECT event_id, event_id + 5 AS nx, event_id - user_id % 9 AS m, event_type = 'error' AS rej, event_id + user_id % 14 - 5 AS acked, event_id + 6 AS lst,
+  CASE user_id % 4 WHEN 0 THEN 0 WHEN 1 THEN event_id + user_id % 12 ELSE event_id - user_id % 40 END AS hint FROM events),
+t AS (SELECT *, CASE WHEN hint > 0 AND hint < nx THEN hint ELSE greatest(nx - 1, least(nx, 1)) END AS back FROM r)
+SELECT event_id, CASE WHEN rej OR acked <= m THEN m ELSE least(acked, lst) END AS match, CASE WHEN rej THEN greatest(1, back, m + 1) WHEN acked <= m THEN nx ELSE least(acked, lst) + 1 END AS next FROM t""",
+    "raft_contiguity": _V("l AS (SELECT * FROM rlog WHERE NOT (node = 2 AND idx = 500) AND NOT (node = 3 AND idx = 600) UNION ALL SELECT * FROM rlog WHERE node = 3 AND idx = 700), p AS (SELECT node, idx, idx - lag(idx) OVER (PARTITION BY node ORDER BY idx) AS step FROM l) SELECT x.node, CASE WHEN (SELECT count(*) FROM p WHERE p.node = x.node AND step <> 1) = 0 THEN 1 ELSE 0 END AS contiguous, min(x.idx) AS first_idx, max(x.idx) AS last_idx, arg_max(x.term, x.idx) AS last_term FROM l x GROUP BY x.node", "rlog"),
     "raft_replication_lag": _V("SELECT grp, peer, max(matched) OVER (PARTITION BY grp) - matched AS lag FROM matches", "matches"),
     "raft_role_transitions": _V("p AS (SELECT node, role, lag(role) OVER (PARTITION BY node ORDER BY tick) AS q, term, lag(term) OVER (PARTITION BY node ORDER BY tick) AS qt FROM statuses) SELECT node, count(*) FILTER (WHERE role = 'candidate' AND q IS DISTINCT FROM 'candidate') AS elections, count(*) FILTER (WHERE role = 'leader' AND q IS DISTINCT FROM 'leader') AS won, count(*) FILTER (WHERE q = 'leader' AND role <> 'leader' AND qt = term) AS lost FROM p GROUP BY node", "statuses"),
-    "raft_vote_grants": f"WITH {_VOTERS}, r AS (SELECT event_id AS candidate, 1 + event_id // 2500 AS lt, event_id % 5000 AS li FROM events WHERE event_id % 50 = 0) SELECT candidate, count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) AS granted, count(*) AS voters, CASE WHEN count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) >= 3 THEN 1 ELSE 0 END AS won FROM r, v GROUP BY candidate",
-    "raft_membership_fold": """WITH c AS (SELECT event_id AS idx, CASE WHEN (event_id // 100) % 3 = 2 THEN 'leave' ELSE 'join' END AS kind, 'n' || CAST(user_id % 7 AS VARCHAR) AS peer FROM events WHERE event_id % 100 = 0),
-p AS (SELECT x.idx AS tick, y.peer, arg_max(y.kind, y.idx) AS kind FROM c x JOIN c y ON y.idx <= x.idx GROUP BY 1, 2)
-SELECT tick, count(*) AS voters, string_agg(peer, ',' ORDER BY peer) AS members FROM p WHERE kind = 'join' GROUP BY tick""",
+    "raft_vote_grants": f"WITH {_V_SQL}, r AS (SELECT event_id AS candidate, 1 + event_id // 2500 AS lt, event_id % 5000 AS li FROM events) SELECT candidate, count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) AS granted, count(*) AS voters, CASE WHEN count(*) FILTER (WHERE lt > term OR (lt = term AND li >= idx)) >= 3 THEN 1 ELSE 0 END AS won FROM r, v GROUP BY candidate",
+    "raft_membership_fold": "WITH c AS (SELECT event_id AS idx, CASE WHEN event_id % 3 = 2 THEN 'leave' ELSE 'join' END AS kind, 'n' || CAST(user_id % 7 AS VARCHAR) AS peer FROM events), s AS (SELECT idx, "
+    + ", ".join(f"last_value(CASE WHEN peer = '{p}' THEN kind END IGNORE NULLS) OVER (ORDER BY idx) AS k{i}" for i, p in enumerate(_PEERS))
+    + " FROM c), n AS (SELECT idx AS tick, list_filter(["
+    + ", ".join(f"CASE WHEN k{i} = 'join' THEN '{p}' END" for i, p in enumerate(_PEERS))
+    + "], lambda x: x IS NOT NULL) AS names FROM s) SELECT tick, len(names) AS voters, array_to_string(names, ',') AS members FROM n WHERE len(names) > 0",
     "raft_capped_batch": _V("t AS (SELECT node, idx, sum(bytes + 32) OVER (PARTITION BY node ORDER BY idx) AS total, row_number() OVER (PARTITION BY node ORDER BY idx) AS r FROM rlog) SELECT node, count(*) AS entries, CAST(max(total) AS BIGINT) AS size FROM t WHERE total <= 20000 OR r = 1 GROUP BY node", "rlog"),
     "raft_greedy_batches": """WITH RECURSIVE q AS (SELECT event_id // 500 AS grp, event_id AS pos, length(props) AS bytes, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS r FROM events),
 b(grp, r, batch, n, size, bytes) AS (SELECT grp, r, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(bytes AS BIGINT), bytes FROM q WHERE r = 1

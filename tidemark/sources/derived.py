@@ -96,6 +96,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("rep"),
         (F.col("event_id") % 7 != 0).alias("valid"),
         (F.col("value") + offset).alias("throughput"),
+        (F.col("value") / 4).alias("p50"),
+        (F.col("value") / 2).alias("p99"),
+        (F.col("event_id") % 17 / 16.0).alias("syncs"),
+        (1.0 + F.col("event_id") % 5).alias("per_sync"),
+        (2 + F.col("event_id") % 9 / 8.0).alias("appends"),
+        (F.col("event_id") % 9 / 16.0).alias("ack_resends"),
+        F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 4).cast("double").alias("send_deadline"),
+        F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 2).cast("double").alias("send_other"),
+        F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 4 > 1).alias("failover_ok"),
+        (F.col("value") + 5).alias("failover_ms"),
+        (F.col("value") + 1).alias("after_close_ms"),
+        F.when(F.col("event_id") % 1000 == 0, "secondary").otherwise("official").alias("label"),
     )
 
 
@@ -131,7 +143,7 @@ SQL = {
     "rlog": "rlog AS (SELECT CAST(n.node AS BIGINT) AS node, event_id + 1 AS idx, 1 + event_id // 2500 + CASE WHEN n.node = 3 AND (event_id + 1) % 997 = 0 THEN 1 ELSE 0 END AS term, length(props) AS bytes FROM events, (VALUES (1), (2), (3)) AS n(node))",
     "matches": "matches AS (SELECT user_id % 50 AS grp, event_type AS peer, max(event_id) AS matched FROM events GROUP BY ALL)",
     "ops": "ops AS (SELECT user_id % 4 AS client, ts AS done, value AS latency, event_type <> 'error' AS ok, 1 + event_id % 3 AS attempts FROM events)",
-    "runs": "runs AS (SELECT event_type AS arm, CAST([1, 4, 16][user_id % 3 + 1] AS BIGINT) AS clients, event_id AS rep, event_id % 7 <> 0 AS valid, value + CASE event_type WHEN 'view' THEN 1000.0 WHEN 'click' THEN 0.0 ELSE 20.0 END AS throughput FROM events)",
+    "runs": "runs AS (SELECT event_type AS arm, CAST([1, 4, 16][user_id % 3 + 1] AS BIGINT) AS clients, event_id AS rep, event_id % 7 <> 0 AS valid, value + CASE event_type WHEN 'view' THEN 1000.0 WHEN 'click' THEN 0.0 ELSE 20.0 END AS throughput, value / 4 AS p50, value / 2 AS p99, event_id % 17 / 16.0::DOUBLE AS syncs, 1.0::DOUBLE + event_id % 5 AS per_sync, 2 + event_id % 9 / 8.0::DOUBLE AS appends, event_id % 9 / 16.0::DOUBLE AS ack_resends, CAST(CASE WHEN event_id % 3 > 0 THEN event_id % 4 END AS DOUBLE) AS send_deadline, CAST(CASE WHEN event_id % 5 > 0 THEN event_id % 2 END AS DOUBLE) AS send_other, CASE WHEN event_id % 4 > 0 THEN event_id % 4 > 1 END AS failover_ok, value + 5 AS failover_ms, value + 1 AS after_close_ms, CASE WHEN event_id % 1000 = 0 THEN 'secondary' ELSE 'official' END AS label FROM events)",
     "counters": "counters AS (SELECT l_suppkey % 3 AS node, CASE WHEN l_returnflag = 'N' THEN 'before' ELSE 'after' END AS boundary, 'append_messages{origin=' || lower(l_linestatus) || '}' AS name, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value FROM lineitem GROUP BY ALL)",
     "statuses": "statuses AS (SELECT event_id % 3 + 1 AS node, event_id AS tick, CASE event_type WHEN 'error' THEN 'candidate' WHEN 'purchase' THEN 'leader' ELSE 'follower' END AS role, 1 + event_id // 2500 AS term, event_id - user_id % 10 AS commit_index, event_id + user_id % 7 AS last_index FROM events)",
 }

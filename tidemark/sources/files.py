@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -28,17 +31,25 @@ class Files:
             stream.close()
 
     def write_new(self, name: str, raw: bytes) -> None:
-        """Writes under a temporary name and renames; fails if the name is taken."""
-        temp = self._path(f".{name}.tmp")
-        stream = self.fs.create(temp, True)
+        """Writes under a temporary name of its own and gives that file its name in one step, which fails if the name is
+        taken: by a rename, which Hadoop's file systems refuse then, or by a link on a local disk, where they don't."""
+        temp, to = self._path(f".{name}.{uuid4().hex}.tmp"), self._path(name)
+        stream = self.fs.create(temp, False)
         try:
             stream.write(bytearray(raw))
             stream.hsync()
         finally:
             stream.close()
-        if self.fs.exists(self._path(name)) or not self.fs.rename(temp, self._path(name)):
+        try:
+            if self.fs.getUri().getScheme() == "file":
+                at = lambda p: self.jvm.java.io.File(p.toUri().getPath()).toPath()
+                self.jvm.java.nio.file.Files.createLink(at(to), at(temp))
+            elif not self.fs.rename(temp, to):
+                raise FileExistsError(name)
+        except Py4JJavaError as e:
+            raise FileExistsError(name) from e
+        finally:
             self.fs.delete(temp, False)
-            raise FileExistsError(name)
 
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)

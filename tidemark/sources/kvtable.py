@@ -1,7 +1,10 @@
 """A table of versioned keys over sorted Parquet files and an atomic manifest.
 
 One driver writes; any number of readers read. Small writes go to a tail, which
-is logged file by file before they count; bulk writes become a segment at once.
+is logged file by file before they count, and of which the newest version of each
+key is kept in memory; bulk writes become a segment at once. The tail is flushed
+when it has as many keys, or LOGGED times as many records, as the threshold says,
+so that neither memory nor the log grows without end however hot a key is.
 Flushing turns the tail into a segment, compaction all segments into one without
 tombstones. Each change publishes a new generation; files that no generation
 needs any more are removed by ``vacuum``.
@@ -17,6 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,10 @@ from . import manifest as M
 from .files import Files
 
 
+#: A tail of so many times the threshold's records is flushed, too, however few its keys are.
+LOGGED = 16
+
+
 class TableError(RuntimeError):
     """An operation that the table's mode or state doesn't allow."""
 
@@ -50,15 +58,15 @@ class KVTable:
         self.files.mkdirs()
         self.manifest = M.load(self.files)
         self.applied_index = self.manifest.applied_index
-        self.tail: list[tuple[str, str | None, int, int, int]] = []
+        self.tail: dict[str, tuple[str, str | None, int, int, int]] = {}  # the newest version of each key
+        self.records = 0  # in the log of the tail
         self.logged: list[str] = []
         self.closed = False
         for name in self.files.names():
             if name.startswith("tail-"):
-                kept = self._replay(name)
-                self.tail += kept
+                self._keep(self._replay(name))
                 self.logged.append(name)
-        self.last_seq = max([self.manifest.last_seq, *(r[2] for r in self.tail)])
+        self.last_seq = max([self.manifest.last_seq, *(r[2] for r in self.tail.values())])
         if self.options.replica:
             self.applied_index = max(self.applied_index, self.last_seq)
 
@@ -92,11 +100,18 @@ class KVTable:
                 out.append(row)
         return out
 
+    def _keep(self, rows: list[tuple]) -> None:
+        for r in rows:
+            old = self.tail.get(r[0])
+            if old is None or (r[2], -r[4]) > (old[2], -old[4]):
+                self.tail[r[0]] = r
+        self.records += len(rows)
+
     def _log(self, rows: list[tuple]) -> None:
         name = f"tail-{rows[0][2]:020d}.jsonl"
         self.files.write_new(name, b"".join(json.dumps(r).encode() + b"\n" for r in rows))
         self.logged.append(name)
-        self.tail += rows
+        self._keep(rows)
         self.last_seq = max(self.last_seq, rows[-1][2])
 
     def _check(self, key: str, value: str | None) -> None:
@@ -163,12 +178,16 @@ class KVTable:
         """Sorted by key, with a Bloom filter and statistics on it; None if there are no rows."""
         n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         ordered = rows.repartitionByRange(int(n), "key").sortWithinPartitions("key", F.col("seq").desc())
-        ordered.write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{name}")
+        ordered.write.mode("errorifexists").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{name}")
         found = self.spark.read.parquet(f"{self.path}/{name}").agg(F.min("key"), F.max("key"), F.count(F.lit(1)), F.max("seq")).first()
         return M.Segment(name, *found) if found[2] else None
 
+    def _new_segment(self) -> str:
+        """A name that no other writer takes, so that one that comes too late has overwritten nothing."""
+        return f"seg-{self.manifest.next_id:08d}-{uuid4().hex[:16]}.parquet"
+
     def _add_segment(self, rows: DataFrame, changes) -> None:
-        name = f"seg-{self.manifest.next_id:08d}.parquet"
+        name = self._new_segment()
         made = self._write_segment(rows, name)
         segments = (*self.manifest.segments, *([made] if made else []))
         new = self.manifest.next(segments=segments, next_id=self.manifest.next_id + 1, **changes(made.max_seq if made else self.last_seq))
@@ -176,7 +195,7 @@ class KVTable:
         self.manifest = new
 
     def _maybe_flush(self) -> None:
-        if len({r[0] for r in self.tail}) >= self.options.flush_threshold:
+        if len(self.tail) >= self.options.flush_threshold or self.records >= LOGGED * self.options.flush_threshold:
             self.flush()
 
     def flush(self) -> None:
@@ -186,7 +205,7 @@ class KVTable:
         self._add_segment(lww_rows(self._tail_frame()), lambda _: {"last_seq": self.last_seq, "applied_index": self.applied_index})
         for name in self.logged:
             self.files.delete(name)
-        self.tail, self.logged = [], []
+        self.tail, self.records, self.logged = {}, 0, []
         self._maybe_compact()
 
     def _maybe_compact(self) -> None:
@@ -197,7 +216,7 @@ class KVTable:
         """All segments become one, without tombstones, or none if nothing is live."""
         if not self.manifest.segments:
             return
-        name = f"seg-{self.manifest.next_id:08d}.parquet"
+        name = self._new_segment()
         merged = lww.winners(self._segments(self.manifest.segments)).filter(F.col("op") == PUT).withColumn("pos", F.lit(0))
         made = self._write_segment(merged.select(*RECORD.fieldNames()), name)
         new = self.manifest.next(segments=(made,) if made else (), next_id=self.manifest.next_id + 1)
@@ -215,7 +234,7 @@ class KVTable:
     # --- reads -------------------------------------------------------------------
 
     def _tail_frame(self) -> DataFrame:
-        return self.spark.createDataFrame(self.tail, RECORD)
+        return self.spark.createDataFrame(list(self.tail.values()), RECORD)
 
     def _segments(self, segments) -> DataFrame:
         paths = [f"{self.path}/{s.name}" for s in segments]
@@ -241,7 +260,8 @@ class KVTable:
         return lww.multi_get(self.log(), keys)
 
     def as_of(self, seq: int) -> DataFrame:
-        """The live state after ``seq``; versions that a compaction has merged are gone."""
+        """The live state after ``seq``; versions that a flush or a compaction has merged, or that newer ones in the tail
+        have replaced, are gone."""
         return lww.as_of(self.log(), seq)
 
     def status(self) -> DataFrame:
@@ -271,14 +291,14 @@ class KVTable:
         index = meta["index"]
         if self.options.replica and index < self.applied_index:
             raise TableError("the snapshot is older than what was applied")
-        name = f"seg-{self.manifest.next_id:08d}.parquet"
+        name = self._new_segment()
         made = self._write_segment(rows.select("key", "value", F.lit(index).cast("long").alias("seq"), F.lit(PUT).alias("op"), F.lit(0).alias("pos")), name)
         new = self.manifest.next(segments=(made,) if made else (), next_id=self.manifest.next_id + 1, applied_index=index, last_seq=index)
         M.publish(self.files, new)
         self.manifest, self.applied_index, self.last_seq = new, index, index
         for n in self.logged:
             self.files.delete(n)
-        self.tail, self.logged = [], []
+        self.tail, self.records, self.logged = {}, 0, []
 
 
 def lww_rows(log: DataFrame) -> DataFrame:
