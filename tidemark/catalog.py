@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .plans import bench, chk, cmd, kv, raft, st
+from .plans import bench, chk, cmd, kv, net, raft, st
 
-FAMILIES = (kv, cmd, raft, bench, chk, st)
+FAMILIES = (kv, cmd, raft, net, bench, chk, st)
 
 
 def queries() -> dict[str, Callable]:

@@ -103,3 +103,56 @@ def normal_voters(voters: Column) -> Column:
     """Sorted, distinct, positive; null if nothing is left or something isn't a voter."""
     clean = F.array_sort(F.array_distinct(voters))
     return F.when((F.size(clean) > 0) & (F.size(clean) == F.size(voters)) & ~F.exists(clean, lambda x: x <= 0), clean)
+
+
+# Flags that are set for each slot and can't be passed on.
+OWN_FLAGS = ["clients", "repetitions", "out", "machine-type", "disk-type"]
+
+
+def accepts_labels(usage: Column) -> Column:
+    """Whether a usage text declares both label flags."""
+    return usage.rlike(r"(?m)^\s*-machine-type\s") & usage.rlike(r"(?m)^\s*-disk-type\s")
+
+
+def slot_args(clients: Column, out: Column, extra: Column, machine: Column, disk: Column, forward: Column) -> Column:
+    """The arguments of one slot: labels are passed on only if wanted and both set."""
+    own = F.array(F.concat(F.lit("-clients="), clients.cast("string")), F.lit("-repetitions=1"), F.concat(F.lit("-out="), out))
+    labels = F.when(forward & (machine != "") & (disk != ""), F.array(F.concat(F.lit("-machine-type="), machine), F.concat(F.lit("-disk-type="), disk))).otherwise(F.array().cast("array<string>"))
+    return F.concat(own, labels, extra)
+
+
+def _flag(arg: Column) -> Column:
+    return F.when(arg.startswith("-"), F.regexp_extract(arg, r"^-+([^=]*)", 1))
+
+
+def extra_problem(args: Column) -> Column:
+    """The first extra argument that would override a slot's own flag, or null."""
+    bad = F.filter(F.transform(args, _flag), lambda f: f.isin(*OWN_FLAGS))
+    return F.when(F.size(bad) > 0, F.get(bad, F.lit(0)))
+
+
+def passes_official(args: Column) -> Column:
+    """Whether the last official flag among the arguments is on: without a value, or with one that means true."""
+    flags = F.filter(args, lambda a: F.coalesce(_flag(a) == "official", F.lit(False)))
+    last = F.element_at(flags, -1)
+    on = ~F.contains(last, F.lit("=")) | F.regexp_extract(last, r"=([\s\S]*)$", 1).isin("1", "t", "T", "true", "TRUE", "True")
+    return F.when(F.size(flags) > 0, on).otherwise(False)
+
+
+def machine_labels_missing(args: Column, machine: Column, disk: Column) -> Column:
+    blank = lambda c: ~F.coalesce(c.rlike(r"[^\p{IsWhite_Space}]"), F.lit(False))
+    return passes_official(args) & (blank(machine) | blank(disk))
+
+
+def run_label(system: Column, official: Column) -> Column:
+    """official on Linux if asked for, secondary if not; null where it was asked for elsewhere."""
+    return F.when(~official, "secondary").when(system == "linux", "official")
+
+
+def verdict(results: DataFrame, *group: str) -> DataFrame:
+    """The lines of a report's checks, in the order of ``place``, and its last line."""
+    line = F.struct("place", F.concat(F.rpad("status", 4, " "), F.lit("  "), F.rpad("check", 16, " "), F.lit(" "), F.col("detail")).alias("line"))
+    failed, warned = F.count_if(F.col("status") == FAIL), F.count_if(F.col("status") == WARN)
+    out = results.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"), failed.alias("failed"), warned.alias("warned"))
+    last = F.concat(F.lit("result: "), F.when(F.col("failed") > 0, FAIL).otherwise(PASS), F.lit(" ("), F.col("failed").cast("string"), F.lit(" failed, "), F.col("warned").cast("string"), F.lit(" warnings)"))
+    return out.select(*group, F.array_join("lines", "\n").alias("lines"), last.alias("result"))
