@@ -79,3 +79,18 @@ def test_readers(spark, tmp_path):
     assert [(r["op"], r["seq"], bytes(r["key"])) for r in got] == [(i % 2, i + 1, f"k{i}".encode()) for i in range(4)]
     (tmp_path / "x.snap").write_bytes(B.snapshot_image([(b"a", b"1"), (b"b", b"2")]))
     assert B.read(spark, f"{tmp_path}/x.snap", "snapshot").count() == 2
+
+
+def test_sorted_file_reads_by_its_index():
+    records = [(i % 5 == 0, i, f"k{i:04d}".encode(), str(i).encode()) for i in range(0, 400, 2)]
+    f = B.SortedFile(B.sorted_file([(int(a), b, c, d) for a, b, c, d in records]))
+    assert (f.low, f.high, f.count, len(f.keys)) == (b"k0000", b"k0398", 200, 13)
+    assert all(f.get(r[2]) == ("found", (int(r[0]), *r[1:])) for r in records)
+    assert f.get(b"a")[0] == f.get(b"z")[0] == "outside"
+    answers = [f.get(f"k{i:04d}".encode())[0] for i in range(1, 398, 2)]
+    assert set(answers) <= {"skipped", "absent"} and answers.count("skipped") > 180
+    for low, high in ((b"k0010", b"k0020"), (b"", b"z"), (b"k0011", b"k0011"), (b"k0398", b"z"), (b"z", b"zz"), (b"k0020", b"k0010")):
+        assert [r[2] for r in f.scan(low, high)] == [r[2] for r in records if low <= r[2] <= high]
+    assert all(B.Bloom.decode(f.bloom.encode()).may_contain(r[2]) for r in records)
+    with pytest.raises(B.FormatError):
+        B.SortedFile(f.raw[:-1])

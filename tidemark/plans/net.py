@@ -8,7 +8,12 @@ from ..operators import checks
 from ..operators import consensus as C
 from ..sources import derived as D
 
-E, U = F.col("event_id"), F.col("user_id")
+def _e():
+    return F.col("event_id")
+
+
+def _u():
+    return F.col("user_id")
 
 
 def _events(spark, sf):
@@ -17,24 +22,24 @@ def _events(spark, sf):
 
 def _proposals(spark, sf):
     """Proposals, some too large."""
-    return _events(spark, sf).select(E.alias("pos"), F.when(E % 37 == 0, 5_000_000).otherwise(F.length("props")).cast("long").alias("bytes"))
+    return _events(spark, sf).select(_e().alias("pos"), F.when(_e() % 37 == 0, 5_000_000).otherwise(F.length("props")).cast("long").alias("bytes"))
 
 
 def _completed(spark, sf):
     """Each event proposes at its tick; indexes are applied in steps of seven; the leader is demoted now and then."""
     p = C.proposed(_proposals(spark, sf), 100).select(F.col("pos").alias("id"), F.col("pos").alias("tick"), "index")
-    steps = _events(spark, sf).select((F.floor(E / 7) * 7 + 20).cast("long").alias("tick"), (F.floor(E / 7) * 7 + 95).cast("long").alias("applied_index")).distinct()
-    lost = _events(spark, sf).select((F.floor(E / 300) * 300 + 299).cast("long").alias("tick")).distinct()
+    steps = _events(spark, sf).select((F.floor(_e() / 7) * 7 + 20).cast("long").alias("tick"), (F.floor(_e() / 7) * 7 + 95).cast("long").alias("applied_index")).distinct()
+    lost = _events(spark, sf).select((F.floor(_e() / 300) * 300 + 299).cast("long").alias("tick")).distinct()
     return C.completed(p, steps, lost)
 
 
 def _queue(spark, sf):
     """Appends in the queues of three members."""
-    return _events(spark, sf).select((E % 3).alias("node"), E.alias("pos"), (U % 2).cast("string").alias("sender"), (E % 5).alias("entries"), (E % 11 * 10).alias("bytes"), (E % 41 == 0).alias("alone"))
+    return _events(spark, sf).select((_e() % 3).alias("node"), _e().alias("pos"), (_u() % 2).cast("string").alias("sender"), (_e() % 5).alias("entries"), (_e() % 11 * 10).alias("bytes"), (_e() % 41 == 0).alias("alone"))
 
 
 def _votes(spark, sf):
-    req = _events(spark, sf).select((E % 5).alias("voter"), (1 + F.floor(E / 100)).cast("long").alias("term"), E.alias("pos"), (U % 4).alias("candidate"), (E % 6).alias("last_term"), (E % 50).alias("last_index"), F.lit(3).cast("long").alias("own_term"), (U % 30).alias("own_index"), (E % 23 > 0).alias("is_voter"), (E % 19 == 0).alias("lease"))
+    req = _events(spark, sf).select((_e() % 5).alias("voter"), (1 + F.floor(_e() / 100)).cast("long").alias("term"), _e().alias("pos"), (_u() % 4).alias("candidate"), (_e() % 6).alias("last_term"), (_e() % 50).alias("last_index"), F.lit(3).cast("long").alias("own_term"), (_u() % 30).alias("own_index"), (_e() % 23 > 0).alias("is_voter"), (_e() % 19 == 0).alias("lease"))
     return C.votes(req).select("voter", "term", "pos", "candidate", "answer")
 
 
@@ -48,27 +53,27 @@ def _tally(spark, sf):
 
 
 def _reads(spark, sf):
-    probes = _events(spark, sf).select(E.alias("probe"), F.when(E % 29 == 0, "follower").otherwise("leader").alias("role"), (1 + E % 3).alias("term"), (E % 50).alias("commit_index"), (1 + E % 4).alias("commit_term"), (E % 50 - F.when(U % 5 == 0, 1).otherwise(0)).alias("applied_index"))
-    acks = _events(spark, sf).select((E - E % 2).alias("probe"), F.concat(F.lit("n"), (U % 6).cast("string")).alias("peer"), (1 + (E - E % 2) % 3).alias("term"))
+    probes = _events(spark, sf).select(_e().alias("probe"), F.when(_e() % 29 == 0, "follower").otherwise("leader").alias("role"), (1 + _e() % 3).alias("term"), (_e() % 50).alias("commit_index"), (1 + _e() % 4).alias("commit_term"), (_e() % 50 - F.when(_u() % 5 == 0, 1).otherwise(0)).alias("applied_index"))
+    acks = _events(spark, sf).select((_e() - _e() % 2).alias("probe"), F.concat(F.lit("n"), (_u() % 6).cast("string")).alias("peer"), (1 + (_e() - _e() % 2) % 3).alias("term"))
     return C.read_index(probes, acks, ["n0", "n1", "n2"], "n0")
 
 
 def _lookups(spark, sf):
     log = D.replica_log(spark, sf)
     snaps = spark.createDataFrame([(1, 0, 0), (2, 100, 7), (3, 4000, 2)], "node long, snap_index long, snap_term long")
-    asked = _events(spark, sf).select((1 + U % 3).alias("node"), (E * 2).alias("idx")).distinct()
+    asked = _events(spark, sf).select((1 + _u() % 3).alias("node"), (_e() * 2).alias("idx")).distinct()
     return C.terms_at(asked, log, snaps)
 
 
 def _entries(spark, sf):
     """A log with changes of the membership: joint and final in turn, some damaged, among other data."""
-    k = F.floor(E / 10).cast("long")
+    k = F.floor(_e() / 10).cast("long")
     voters = lambda x: F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), 3 + x % 4)
     phase = F.when(k % 2 == 0, "joint").otherwise("final")
     old, new = voters(F.floor(k / 2)), voters(F.floor(k / 2) + 1)
     good = C.encoded(phase, F.when(k % 2 == 0, old).otherwise(F.array().cast("array<bigint>")), F.reverse(new))
-    data = F.when(E % 10 != 0, F.col("props")).when(k % 31 == 7, F.concat(F.lit(C.PREFIX), F.lit("{"))).when(k % 31 == 12, C.encoded(F.lit("joint"), old, F.array(F.lit(1).cast("long"), F.lit(1).cast("long")))).when(k % 31 == 18, C.encoded(F.lit("other"), old, new)).otherwise(good)
-    return _events(spark, sf).select(E.alias("idx"), data.alias("data"))
+    data = F.when(_e() % 10 != 0, F.col("props")).when(k % 31 == 7, F.concat(F.lit(C.PREFIX), F.lit("{"))).when(k % 31 == 12, C.encoded(F.lit("joint"), old, F.array(F.lit(1).cast("long"), F.lit(1).cast("long")))).when(k % 31 == 18, C.encoded(F.lit("other"), old, new)).otherwise(good)
+    return _events(spark, sf).select(_e().alias("idx"), data.alias("data"))
 
 
 def _membership(spark, sf):
@@ -77,20 +82,20 @@ def _membership(spark, sf):
 
 
 def _changes(spark, sf):
-    asked, voters = F.array(U % 4, (U % 4) + 1, F.lit(5).cast("long")), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(5).cast("long"))
-    joint = F.when(E % 9 == 0, voters).otherwise(F.array().cast("array<bigint>"))
-    return _events(spark, sf).select("event_id", C.proposed_change(F.when(E % 13 == 0, "follower").otherwise("leader"), joint, E % 7, E % 8, asked, voters).alias("wish"), C.change_status(F.reverse(asked), voters, joint, E % 7, E % 8).alias("status"))
+    asked, voters = F.array(_u() % 4, (_u() % 4) + 1, F.lit(5).cast("long")), F.array(F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(5).cast("long"))
+    joint = F.when(_e() % 9 == 0, voters).otherwise(F.array().cast("array<bigint>"))
+    return _events(spark, sf).select("event_id", C.proposed_change(F.when(_e() % 13 == 0, "follower").otherwise("leader"), joint, _e() % 7, _e() % 8, asked, voters).alias("wish"), C.change_status(F.reverse(asked), voters, joint, _e() % 7, _e() % 8).alias("status"))
 
 
 def _snapshots(spark, sf):
-    v = F.when(E % 17 == 0, F.array(F.lit(2), F.lit(1))).when(E % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2)))
-    a = C.snapshot_answer(E % 40, 1 + E % 3 - F.when(E % 11 == 0, 5).otherwise(0), v, U % 41, E % 23, E % 30, 1 + U % 3, E % 30 + 4)
+    v = F.when(_e() % 17 == 0, F.array(F.lit(2), F.lit(1))).when(_e() % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2)))
+    a = C.snapshot_answer(_e() % 40, 1 + _e() % 3 - F.when(_e() % 11 == 0, 5).otherwise(0), v, _u() % 41, _e() % 23, _e() % 30, 1 + _u() % 3, _e() % 30 + 4)
     return _events(spark, sf).select("event_id", a.alias("a")).select("event_id", "a.*")
 
 
 def _chunks(spark, sf):
     """Streams of up to a hundred chunks, some with a gap, a wrong total, changed metadata or a wrong sum."""
-    s, q = F.floor(E / 100).cast("long"), E % 100
+    s, q = F.floor(_e() / 100).cast("long"), _e() % 100
     sized = _events(spark, sf).select(s.alias("stream"), q.alias("seq"), F.col("props").cast("binary").alias("data"))
     whole = sized.groupBy("stream").agg(F.sum(F.octet_length("data")).cast("long").alias("t"), F.crc32(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("data").cast("string").alias("d")))), lambda x: x["d"]), "").cast("binary")).alias("c"))
     from ..functions.running import running_sum
@@ -101,26 +106,26 @@ def _chunks(spark, sf):
 
 
 def _updates(spark, sf):
-    answers = F.when(E % 3 == 0, F.array(F.lit("append"), F.lit("append_response"))).when(E % 7 == 0, F.array(F.lit("snapshot_response"))).when(E % 5 == 0, F.array(F.lit("append"))).otherwise(F.array().cast("array<string>"))
-    return _events(spark, sf).select((E % 6).alias("entries"), answers.alias("answers"))
+    answers = F.when(_e() % 3 == 0, F.array(F.lit("append"), F.lit("append_response"))).when(_e() % 7 == 0, F.array(F.lit("snapshot_response"))).when(_e() % 5 == 0, F.array(F.lit("append"))).otherwise(F.array().cast("array<string>"))
+    return _events(spark, sf).select((_e() % 6).alias("entries"), answers.alias("answers"))
 
 
 def _delivered(spark, sf):
-    m = _events(spark, sf).select(E.alias("seq"), F.col("event_type").alias("sender"), (U % 3).cast("string").alias("receiver"), E.alias("sent"))
+    m = _events(spark, sf).select(_e().alias("seq"), F.col("event_type").alias("sender"), (_u() % 3).cast("string").alias("receiver"), _e().alias("sent"))
     links = spark.createDataFrame([("click", "0", True, None, None, None), ("view", "1", None, 40, None, None), ("error", "2", None, None, 500, True), ("error", "0", None, None, 300, False)], "sender string, receiver string, drop boolean, delay long, release long, reverse boolean")
     return C.delivered(m, links, ["signup"])
 
 
 def _slots(spark, sf):
-    extra = F.when(E % 3 == 0, F.array(F.lit("-official"))).when(E % 5 == 0, F.array(F.lit("--out=x"), F.lit("-official=false"))).when(E % 7 == 0, F.array(F.lit("-official"), F.lit("--official=0"))).otherwise(F.array(F.lit("plain")))
-    machine, disk = F.when(E % 4 == 0, " ").otherwise("m"), F.when(E % 6 == 0, "").otherwise("ssd")
-    usage = F.when(E % 2 == 0, "flags\n  -machine-type string\n\t-disk-type string\n").otherwise("flags -machine-type x")
-    return _events(spark, sf).select("event_id", F.array_join(checks.slot_args(E % 5, F.lit("o"), extra, machine, disk, checks.accepts_labels(usage)), " ").alias("args"), F.coalesce(checks.extra_problem(extra), F.lit("none")).alias("own"), checks.machine_labels_missing(extra, machine, disk).alias("unlabelled"), F.coalesce(checks.run_label(F.when(E % 8 == 0, "darwin").otherwise("linux"), checks.passes_official(extra)), F.lit("refused")).alias("label"))
+    extra = F.when(_e() % 3 == 0, F.array(F.lit("-official"))).when(_e() % 5 == 0, F.array(F.lit("--out=x"), F.lit("-official=false"))).when(_e() % 7 == 0, F.array(F.lit("-official"), F.lit("--official=0"))).otherwise(F.array(F.lit("plain")))
+    machine, disk = F.when(_e() % 4 == 0, " ").otherwise("m"), F.when(_e() % 6 == 0, "").otherwise("ssd")
+    usage = F.when(_e() % 2 == 0, "flags\n  -machine-type string\n\t-disk-type string\n").otherwise("flags -machine-type x")
+    return _events(spark, sf).select("event_id", F.array_join(checks.slot_args(_e() % 5, F.lit("o"), extra, machine, disk, checks.accepts_labels(usage)), " ").alias("args"), F.coalesce(checks.extra_problem(extra), F.lit("none")).alias("own"), checks.machine_labels_missing(extra, machine, disk).alias("unlabelled"), F.coalesce(checks.run_label(F.when(_e() % 8 == 0, "darwin").otherwise("linux"), checks.passes_official(extra)), F.lit("refused")).alias("label"))
 
 
 def _lines(spark, sf):
-    status = F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("PASS"), F.lit("FAIL")), F.when(E % 97 == 0, 4).otherwise(E % 3 + 1).cast("int"))
-    rows = _events(spark, sf).select(F.floor(E / 9).cast("long").alias("file"), (E % 9).alias("place"), status.alias("status"), F.concat(F.lit("check."), (E % 9).cast("string")).alias("check"), F.col("event_type").alias("detail"))
+    status = F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("PASS"), F.lit("FAIL")), F.when(_e() % 97 == 0, 4).otherwise(_e() % 3 + 1).cast("int"))
+    rows = _events(spark, sf).select(F.floor(_e() / 9).cast("long").alias("file"), (_e() % 9).alias("place"), status.alias("status"), F.concat(F.lit("check."), (_e() % 9).cast("string")).alias("check"), F.col("event_type").alias("detail"))
     return checks.verdict(rows, "file")
 
 
@@ -128,7 +133,7 @@ QUERIES = {
     "net_proposed": lambda s, d: C.proposed(_proposals(s, d), 100).select("pos", "index"),
     "net_completed": _completed,
     "net_append_groups": lambda s, d: C.append_groups(_queue(s, d), most=12, cap=300),
-    "net_pre_votes": lambda s, d: _events(s, d).select("event_id", C.pre_vote(E % 9 > 0, E % 5, U % 4, C.in_lease(F.when(E % 31 == 0, "leader").otherwise("follower"), U % 2, E % 20, F.lit(6)), C.up_to_date(E % 3, E % 50, U % 3, U % 50)).alias("p")).select("event_id", "p.reject", "p.term"),
+    "net_pre_votes": lambda s, d: _events(s, d).select("event_id", C.pre_vote(_e() % 9 > 0, _e() % 5, _u() % 4, C.in_lease(F.when(_e() % 31 == 0, "leader").otherwise("follower"), _u() % 2, _e() % 20, F.lit(6)), C.up_to_date(_e() % 3, _e() % 50, _u() % 3, _u() % 50)).alias("p")).select("event_id", "p.reject", "p.term"),
     "net_votes": _votes,
     "net_elections": _tally,
     "net_read_index": _reads,

@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -154,6 +155,62 @@ def sorted_records(raw: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
         yield op, seq, raw[k : k + nk], raw[k + nk : at]
 
 
+class SortedFile:
+    """A sorted file opened for reads: its bounds, filter and sparse index are read, records only where they are needed."""
+
+    def __init__(self, raw: bytes) -> None:
+        if len(raw) < FOOTER:
+            raise FormatError("too short for a sorted file")
+        self.raw = raw
+        meta, filt, filt_size, idx, idx_size, self.count = struct.unpack(">6Q", raw[-FOOTER:])
+        if not meta <= filt <= idx <= len(raw) - FOOTER or filt + filt_size != idx or idx + idx_size != len(raw) - FOOTER:
+            raise FormatError("a footer that points elsewhere")
+        self.end = meta
+        self.low, at = self._name(meta)
+        self.high, _ = self._name(at)
+        self.bloom = Bloom.decode(raw[filt : filt + filt_size])
+        self.keys, self.places, at = [], [], idx
+        while at < idx + idx_size:
+            key, at = self._name(at)
+            self.keys.append(key)
+            self.places.append(struct.unpack_from(">Q", raw, at)[0])
+            at += 8
+
+    def _name(self, at: int) -> tuple[bytes, int]:
+        (n,) = struct.unpack_from(">I", self.raw, at)
+        return self.raw[at + 4 : at + 4 + n], at + 4 + n
+
+    def _from(self, key: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """Records from the index block on that can hold the key."""
+        at = self.places[max(0, bisect_right(self.keys, key) - 1)]
+        while at < self.end:
+            nk, nv, seq, op = _SORTED.unpack_from(self.raw, at)
+            k = at + _SORTED.size
+            at = k + nk + nv
+            yield op, seq, self.raw[k : k + nk], self.raw[k + nk : at]
+
+    def get(self, key: bytes) -> tuple[str, tuple[int, int, bytes, bytes] | None]:
+        """``outside`` the bounds, ``skipped`` by the filter, ``absent``, or ``found`` and the record."""
+        if not self.low <= key <= self.high:
+            return "outside", None
+        if not self.bloom.may_contain(key):
+            return "skipped", None
+        for r in self._from(key):
+            if r[2] >= key:
+                return ("found", r) if r[2] == key else ("absent", None)
+        return "absent", None
+
+    def scan(self, low: bytes, high: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """Records from low to high, both included."""
+        if low > high or high < self.low or low > self.high:
+            return
+        for r in self._from(low):
+            if r[2] > high:
+                return
+            if r[2] >= low:
+                yield r
+
+
 # --- snapshot image --------------------------------------------------------------
 
 
@@ -208,3 +265,51 @@ def read(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, pos long, op int, seq long, key binary, value binary")
+
+
+_RECORD = "path string, pos long, op int, seq long, key binary, value binary"
+
+
+def encoded(log: DataFrame, group: str, kind: str) -> DataFrame:
+    """(path, content): a file of each group's records (op, seq, key, value; the group is a segment, of bounded size): a log
+    in order of the sequence, or a sorted file of each key's newest record."""
+
+    def build(rows: pa.Table) -> pa.Table:
+        name = rows.column(group)[0].as_py()
+        records = [(op, seq, k.encode(), (v or "").encode()) for op, seq, k, v in zip(*(rows.column(c).to_pylist() for c in ("op", "seq", "key", "value")), strict=True)]
+        records.sort(key=lambda r: r[1])
+        raw = b"".join(log_record(*r) for r in records) if kind == "log" else sorted_file(dict(sorted({r[2]: r for r in records}.items())).values())
+        return pa.table({"path": pa.array([str(name)], pa.string()), "content": pa.array([raw], pa.binary())})
+
+    return log.select(group, "op", "seq", "key", "value").groupBy(group).applyInArrow(build, "path string, content binary")
+
+
+def decoded(files: DataFrame, kind: str, low: str | None = None, high: str | None = None) -> DataFrame:
+    """The records of (path, content) files; of sorted files only those from ``low`` to ``high``, if these are given."""
+    decode = _DECODERS[kind] if low is None else lambda raw: SortedFile(raw).scan(low.encode(), high.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows = [(name, i, *r) for i, r in enumerate(decode(raw))]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["path", "pos", "op", "seq", "key", "value"])
+
+    return files.select("path", "content").mapInArrow(run, _RECORD)
+
+
+def lookups(files: DataFrame, keys: list[str]) -> DataFrame:
+    """(path, key, answer, op, seq, value) of each key in each sorted file, by bounds, filter and index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                f, rows = SortedFile(raw), []
+                for k in keys:
+                    answer, r = f.get(k.encode())
+                    rows.append((name, k, answer, *((r[0], r[1], r[3]) if r else (None, None, None))))
+                kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["path", "key", "answer", "op", "seq", "value"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, key string, answer string, op int, seq long, value binary")
