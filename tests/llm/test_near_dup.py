@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import common
+from tidemark.llm import components as graph
 from tidemark.llm import near_dup as N
 from tidemark.llm.components import connected_components
 
@@ -125,7 +127,9 @@ def test_short_texts_at_the_threshold(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 4_000_000])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", few)
     rnd = random.Random(6)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(1000, 1000 + i) for i in range(1, 50)]
     group = {}
@@ -141,3 +145,16 @@ def test_components(spark):
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: root(x) for x in list(group) if root(x) != x}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_windows_do_not_change_hashes(monkeypatch):
+    """Texts of any length, and words longer than a window, have the same sets however they are cut."""
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcé漢") for _ in range(rnd.randint(1, 9)))
+    texts = [None, "", " \n", "a", "x" * 1000, "y" * 129 + " a b c d e " + "z" * 300, *[" ".join(word() for _ in range(rnd.randint(0, 400))) for _ in range(40)]]
+    want = N.shingle_sets(texts)
+    for size in (16, 64, 128):
+        monkeypatch.setattr(N, "WINDOW", size)
+        monkeypatch.setattr(common, "_kept", {})
+        assert all(np.array_equal(a, b) for a, b in zip(want, N.shingle_sets(texts), strict=True))
+    assert [len(s) for s in want[:5]] == [0, 0, 0, 1, 1]

@@ -1,7 +1,8 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
 Everything stays distributed: a step is an aggregation with map-side combining
-and a join. A hub, which has more than one in SHARE of all ends of links, is met by a
+and a join. A graph of up to FEW ends of links has no more than these in any task.
+In a larger one a hub, which has more than one in SHARE of all ends, is met by a
 broadcast: there are SHARE hubs at most, however large the graph, and no task gets
 all of a hub's links. Each round is
 written to the shared folder, which cuts the lineage, and read in as few parts as
@@ -19,6 +20,8 @@ from .common import Table
 MAX_ROUNDS = 100
 #: A hub has more than one in so many of all ends of links.
 SHARE = 200
+#: Ends of links, 16 bytes each, that one task may get.
+FEW = 4_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,18 +29,19 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _least(ends: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """The least ``v`` of each ``u`` (u, m): of hubs, which are SHARE at most, and of all others."""
-    low = ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    hub = F.col("n") * SHARE > total
-    return low.filter(hub).select("u", "m"), low.filter(~hub).select("u", "m")
+def _least(ends: DataFrame) -> DataFrame:
+    """The least ``v`` of each ``u``, and how many ends it has (u, m, n)."""
+    return ends.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
-def _met(ends: DataFrame, least: tuple[DataFrame, DataFrame]) -> DataFrame:
+def _met(ends: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """``ends`` with ``m``."""
-    hubs, others = least
+    if total <= FEW:
+        return ends.join(least.drop("n"), "u")
+    hub = F.col("n") * SHARE > total
+    hubs = least.filter(hub).drop("n")
     hot = ends.join(F.broadcast(hubs), "u")
-    cold = ends.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(others, "u")
+    cold = ends.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least.filter(~hub).drop("n"), "u")
     return hot.union(cold)
 
 
@@ -52,10 +56,9 @@ def connected_components(edges: DataFrame, tables: list[Table] | None = None) ->
             break
         e = held.df
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _met(both.filter("v > u"), _least(both, 2 * state[0])).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        hubs, others = least = _least(large, state[0])
-        low = hubs.union(others)
-        small = _met(large, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
+        large = _met(both.filter("v > u"), _least(both), 2 * state[0]).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        low = _least(large)
+        small = _met(large, low, state[0]).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         held, old = Table(small, "edges"), held
         old.drop()
         state, before = _state(held.df), state

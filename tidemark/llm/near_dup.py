@@ -75,7 +75,7 @@ _B = (_random(HASHES, 3) >> _U(32)).astype(np.uint32)
 _C = _random(HASHES, 4)
 _ROWS_AT_ONCE = 64
 #: Bytes of text whose word hashes are computed at once.
-WINDOW = 1 << 19
+WINDOW = 1 << 17
 
 
 def _power_tables() -> tuple[np.ndarray, np.ndarray]:
