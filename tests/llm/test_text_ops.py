@@ -259,3 +259,41 @@ def test_token_count_frame(spark):
         assert r["n_words"] == len(counts)
         if None not in counts:
             assert r["n_tokens"] == sum(max(c, 1) if c >= 0 else 1 for c in counts) and r["n_unknown"] == counts.count(-1)
+
+
+def test_columns_of_the_same_names_are_replaced(spark):
+    from tidemark.llm import bpe, lang_id
+
+    df = spark.createDataFrame([(1, "one two", "x", 3)], "doc_id long, text string, score string, items int")
+    model = lang_id.Model(["a"], {lang_id.MARK + "one": (0.5,)})
+    got = lang_id.identify(df.withColumn("lang_pred", F.lit(1)), model)
+    assert got.columns == ["doc_id", "text", "items", "lang_pred", "score"] and got.first()["lang_pred"] == "a"
+    out = decontaminate.scan_documents(df.withColumn("n_words", F.lit("x")), spark.createDataFrame([(1, "two")], "item_id long, text string"))
+    assert out.first()["items"] == ["1"] and out.first()["n_words"] == 2 and out.columns.count("items") == 1
+    ids = bpe.encode_documents(df.withColumn("ids", F.lit(0)).withColumn("ok", F.lit(0)), check="ok").first()
+    assert ids["ok"] is True and len(ids["ids"]) > 0
+
+
+def test_null_ids_spread_over_ranges(spark):
+    from tidemark.llm.ordering import dealt_in_order
+
+    rows = [(None, f"t{i}") for i in range(200)] + [(i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dealt_in_order(df, "doc_id", [F.xxhash64("text")])
+    assert got.filter("doc_id IS NULL AND NOT _carried").select("_range").distinct().count() > 4
+    assert got.filter("NOT _carried").count() == 220
+    order = [r["text"] for r in df.filter("doc_id IS NULL").orderBy(F.xxhash64("text")).collect()]
+    by_range = [r["text"] for r in got.filter("doc_id IS NULL AND NOT _carried").orderBy("_range", F.xxhash64("text")).collect()]
+    assert by_range == order
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    from tidemark.llm import url_filter
+
+    (tmp_path / "rules").write_text("# junk\nblock *.junk.**\n\nallow  *.junk.org/ok**\n")
+    rules = url_filter.read_rules(spark, str(tmp_path / "rules"))
+    pages = spark.createDataFrame([(1, "http://a.junk.org/x"), (2, "http://a.junk.org/ok/1"), (3, "http://b.org/")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, [], rules).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    (tmp_path / "bad").write_text("deny x\n")
+    with pytest.raises(ValueError):
+        url_filter.read_rules(spark, str(tmp_path / "bad"))

@@ -259,12 +259,11 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", into: str = "ids", check: str | None = None) -> DataFrame:
-    """``docs`` with an array column of token ids; no shuffle. With ``check`` a boolean column of that name, too: whether
+    """``docs`` with an array column of token ids, in place of one of that name; no shuffle. With ``check`` a boolean column of that name, too: whether
     the ids decode to the text. The vocabulary file must be on every executor."""
     default = default_vocabulary() if path is None or pattern is None else (path, pattern)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (into, check)])
     at, names = docs.columns.index(text), docs.columns
-    if {into, check} & set(names):
-        raise ValueError(f"there is a column {into} or {check} already")
     kinds = extended(docs, f"`{into}` array<int>" + (f", `{check}` boolean" if check else ""))
     use = (path or default[0], pattern or default[1])
 
@@ -284,6 +283,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 def decode_documents(rows: DataFrame, path: str | None = None, pattern: str | None = None, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``rows`` with a binary column: the bytes that the ids stand for (null ids: no bytes)."""
     default = default_vocabulary() if path is None or pattern is None else (path, pattern)
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != into])
     at, names = rows.columns.index(ids), rows.columns
     kinds = extended(rows, f"`{into}` binary")
     use = (path or default[0], pattern or default[1])

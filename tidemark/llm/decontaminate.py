@@ -226,8 +226,9 @@ def in_groups(rows: DataFrame, benchmark: DataFrame, window: int, block_words: i
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with n_words, hit_from and hit_to (arrays of word positions, spans merged) and items (ids as
-    strings). Columns of ``docs`` with these names must be renamed before. With more than GROUP blocks it runs when
+    strings), in place of columns of these names. With more than GROUP blocks it runs when
     called, and the result reads a table in the shared folder."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "hit_from", "hit_to", "items")])
     cols = docs.columns
     at = cols.index("text")
     kinds = extended(docs, "n_words long, hit_from array<int>, hit_to array<int>, items array<string>")

@@ -13,7 +13,7 @@ lengths, in hexadecimal (12 digits of digest, 2 of length for each chunk).
 Containment of A in B is the length of A's chunks that B has, over the length
 of all of A's chunks (each distinct chunk counts once).
 
-Defined results: null text counts as empty; the empty text has the empty
+Defined results: null text counts as empty; very long texts are fingerprinted whole; the empty text has the empty
 fingerprint; two empty fingerprints contain each other (1.0), an empty and a
 filled one don't (0.0). Repeated rows and equal ids are kept; rows of equal id
 are ordered by a hash of their text, null ids come last in descending order. Other columns are

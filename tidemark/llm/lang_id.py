@@ -279,8 +279,9 @@ def learn(labelled: DataFrame, path: str | None = None, rows_per_lang: int = ROW
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; no shuffle. The model has one number for each language and piece. ``text`` may
+    """``docs`` with lang_pred and score, in place of columns of these names; no shuffle. The model has one number for each language and piece. ``text`` may
     be a field of a struct, as in ``row.text``."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     first, *inner = text.split(".")
     at, names = docs.columns.index(first), docs.columns
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces))

@@ -12,7 +12,8 @@ everything. Noise follows from the id and a seed. The k-th largest key is found
 exactly, by counting keys in ever narrower ranges; keys equal to it are all
 selected.
 
-Defined results: documents without words have weight 0 and no key, and are never
+Defined results: very long texts are weighed whole; of equal keys at the end of the
+selection all are selected; documents without words have weight 0 and no key, and are never
 selected; null labels and labels without a document are ignored; rows of equal
 id have equal noise; other columns are ignored; without good labels no document
 is selected; an empty table gives an empty result.

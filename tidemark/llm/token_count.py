@@ -11,7 +11,7 @@ The vocabulary's pieces that begin with the word mark begin words, the others go
 on with them. A word that can't be cut into pieces counts as one unknown token.
 Words are runs of anything but white space.
 
-Defined results: null text counts as empty; texts without words have no tokens;
+Defined results: null text counts as empty; very long texts are counted whole; texts without words have no tokens;
 repeated rows are counted apart; other columns are ignored; an empty table gives
 an empty result.
 """

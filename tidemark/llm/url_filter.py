@@ -18,7 +18,8 @@ Host rules ``(host, path)`` compile to ``*.host/path**``: host and all its
 subdomains, any longer path. Among the host rules that fit, the longest wins;
 other globs decide where no host rule fits, the longest first; then the default.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path
+Defined results: of rules of equal length the one given first wins; very long URLs
+are judged whole; a null URL, or one without ``://``, has an empty host and path
 and so the default verdict; repeated rows are judged apart; other columns are
 ignored; an empty table gives an empty result.
 """
@@ -60,7 +61,19 @@ class Rule:
         return self.pattern if self.host is None else f"*.{self.host}{self.path}**"
 
 
-#: Known junk hosts, as globs.
+#: Rules of one job, at most: their masks take some 35 bytes a character.
+MOST_RULES = 100_000
+
+
+def read_rules(spark, path: str) -> list[Rule]:
+    """Glob rules from a text file, one a line: allow or block, white space, the glob. Blank lines and # lines are left out."""
+    lines = [r["value"].split(None, 1) for r in spark.read.text(path).limit(MOST_RULES + 1).collect() if r["value"].strip() and not r["value"].startswith("#")]
+    if len(lines) > MOST_RULES or any(len(x) < 2 or x[0] not in (ALLOW, BLOCK) for x in lines):
+        raise ValueError("not a list of rules, or too long a one")
+    return [Rule(verdict, pattern=glob.strip()) for verdict, glob in lines]
+
+
+#: Some junk hosts, as globs, where no list of rules is given.
 DEFAULT_GLOBS = (
     Rule(BLOCK, pattern="*.spam-farm.**"),
     Rule(BLOCK, pattern="*.cheap-pills.**"),
@@ -175,7 +188,9 @@ def filter_urls(
     by_length = lambda rs: sorted(rs, key=lambda r: -len(r.text))
     ordered, n_host = [*by_length(rules), *by_length(globs)], len(rules)
     texts, verdicts = [r.text for r in ordered], [r.verdict for r in ordered]
-    auto = GlobAutomaton([r.glob for r in ordered])
+    if len(ordered) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    shared = pages.sparkSession.sparkContext.broadcast(GlobAutomaton([r.glob for r in ordered]))  # bounded by MOST_RULES
 
     rest = F.substring(F.col(url), F.instr(url, "://") + 3, 1 << 30)
     rest = F.when(F.instr(url, "://") > 0, rest).otherwise("")
@@ -188,7 +203,7 @@ def filter_urls(
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "host string, path string, rule string, glob string, verdict string"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(keys)
+        n, auto = len(keys), shared.value
         for b in batches:
             if not b.num_rows:
                 continue
