@@ -219,3 +219,30 @@ def test_manifest_versions(spark, tmp_path):
         M.Manifest(segments=(s, s)).validate()
     files.write_new("manifest-000000000001.json", b'{"generation": 1, "version": 1, "segments": [{"name": "seg-1.parquet", "min_key": "a", "max_key": "b", "records": 1, "max_seq": 5}], "next_id": 2, "applied_index": 0}')
     assert M.load(files).last_seq == 5
+
+
+def test_passing_tables_go(spark, tmp_path):
+    with KVTable.open(spark) as t:
+        t.put("a", "1")
+        t.flush()
+        assert t.get("a") == (True, "1") and t.files.names()
+    assert not t.files.names()
+    with pytest.raises(TableError):
+        t.get("k" * 20_000)
+
+
+def test_bootstrap_from_segments(spark, tmp_path):
+    path = str(tmp_path / "b")
+    t = KVTable.open(spark, path)
+    t.write([(PUT, "a", "1"), (PUT, "b", "2")])
+    t.flush()
+    t.write([(DELETE, "a", None), (PUT, "c", "3")])
+    t.flush()
+    for n in t.files.names():
+        if n.startswith("manifest"):
+            t.files.delete(n)
+    again = KVTable.bootstrap(spark, path)
+    assert sorted(keys(again.live())) == ["b", "c"] and again.last_seq == 4
+    assert again.put("d", "4") == 5 and sorted(keys(KVTable.open(spark, path).live())) == ["b", "c", "d"]
+    with pytest.raises(TableError):
+        KVTable.bootstrap(spark, path)

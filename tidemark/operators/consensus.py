@@ -89,6 +89,29 @@ def append_groups(queue: DataFrame, node: str = "node", most: int = BATCH_MAX_EN
     return ordered.mapInArrow(group, f"`{node}` long, grp long, sender string, first_pos long, appends long, entries long, bytes long")
 
 
+def resends(sends: DataFrame, acks: DataFrame, limit: int) -> DataFrame:
+    """What becomes of appends with entries (peer, tick, last), one in flight to a peer (a number): ``settled`` at the tick at
+    which the peer has matched all of it (acks: peer, tick, matched; never falling), unless that takes ``limit`` ticks,
+    after which it is sent again (``resend``: when)."""
+    key = lambda peer, index: peer.cast("decimal(38,0)") * (1 << 62) + index
+    steps = previous(acks.select("peer", "tick", "matched"), ["peer"], "tick", ["matched"])
+    steps = steps.select(key(F.col("peer"), F.coalesce("prev_matched", F.lit(0)) + 1).alias("low"), key(F.col("peer"), F.col("matched")).alias("high"), F.col("tick").alias("acked"))
+    asked = sends.select("peer", "tick", "last", key(F.col("peer"), F.col("last")).alias("at"))
+    met = point_in_interval(asked, "at", steps, "low", "high").select("peer", "tick", F.greatest("acked", "tick").alias("settled"))
+    out = sends.join(met, ["peer", "tick"], "left")
+    late = F.col("settled").isNull() | (F.col("settled") - F.col("tick") >= limit)
+    return out.select("peer", "tick", "last", F.when(~late, F.col("settled")).alias("settled"), F.when(late, F.col("tick") + limit).alias("resend"))
+
+
+def hard_state(records: DataFrame) -> DataFrame:
+    """Each member's term and vote as a restart finds them: those of its last record (node, pos, term, vote, good) before
+    the first damaged one."""
+    stop = F.min(F.when(~F.col("good"), F.col("pos")))
+    ends = records.groupBy("node").agg(stop.alias("_stop"))
+    kept = records.join(ends, "node").filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
+    return kept.groupBy("node").agg(F.max_by(F.struct("term", "vote"), "pos").alias("s")).select("node", "s.term", "s.vote")
+
+
 # --- votes ----------------------------------------------------------------------
 
 

@@ -185,6 +185,13 @@ def failover(probes: DataFrame) -> DataFrame:
     return probes.withColumns({"ok": F.col("error").isNull(), "failover_ms": ms("stop_start", "done"), "close_ms": ms("stop_start", "closed"), "after_close_ms": ms("closed", "done")})
 
 
+def exposition(readings: DataFrame) -> DataFrame:
+    """Readings (name, labels as a map, value) as the lines of a metrics endpoint."""
+    pairs = F.array_sort(F.transform(F.map_entries("labels"), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'(["\\])', r"\\$1"), F.lit('"'))))
+    inner = F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).otherwise("")
+    return readings.select(F.concat(F.col("name"), inner, F.lit(" "), F.col("value").cast("string")).alias("line"))
+
+
 def sweep(rows: DataFrame) -> DataFrame:
     """Runs by duration, arm, clients and repetition, with the share of appends that were resends of answers."""
     return rows.withColumn("share", share(F.col("ack_resends"), F.col("appends"))).orderBy("duration", "arm", "clients", "repetition")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks
+from ..operators import checks, stats
 from ..operators import consensus as C
 from ..sources import derived as D
 
@@ -110,6 +110,22 @@ def _updates(spark, sf):
     return _events(spark, sf).select((_e() % 6).alias("entries"), answers.alias("answers"))
 
 
+def _resends(spark, sf):
+    """One append in five ticks to each of three peers; some answers are late or never come."""
+    sends = _events(spark, sf).select((_e() % 3).alias("peer"), (_e() - _e() % 3).alias("tick"), _e().alias("last"))
+    acks = _events(spark, sf).filter("event_type <> 'error'").select((_e() % 3).alias("peer"), (_e() - _e() % 3 + 4).alias("tick"), _e().alias("matched"))
+    return C.resends(sends, acks, 5)
+
+
+def _hard_states(spark, sf):
+    return C.hard_state(_events(spark, sf).select((_u() % 10).alias("node"), _e().alias("pos"), F.floor(_e() / 50).cast("long").alias("term"), (_u() % 4).alias("vote"), ((_e() < 700) | (_u() % 3 > 0)).alias("good")))
+
+
+def _exposed(spark, sf):
+    g = _events(spark, sf).groupBy("event_type", (_u() % 3).alias("n")).agg(F.count(F.lit(1)).alias("value"))
+    return stats.exposition(g.select(F.lit("events_total").alias("name"), F.create_map(F.lit("type"), "event_type", F.lit("node"), F.concat(F.lit('n"'), F.col("n").cast("string"))).alias("labels"), "value"))
+
+
 def _delivered(spark, sf):
     m = _events(spark, sf).select(_e().alias("seq"), F.col("event_type").alias("sender"), (_u() % 3).cast("string").alias("receiver"), _e().alias("sent"))
     links = spark.createDataFrame([("click", "0", True, None, None, None), ("view", "1", None, 40, None, None), ("error", "2", None, None, 500, True), ("error", "0", None, None, 300, False)], "sender string, receiver string, drop boolean, delay long, release long, reverse boolean")
@@ -144,6 +160,9 @@ QUERIES = {
     "net_reassembled": lambda s, d: C.reassembled(_chunks(s, d), ["snap_index", "snap_term"], 1 << 20).select("stream", "bytes", F.coalesce("problem", F.lit("none")).alias("problem")),
     "net_sync_roles": lambda s, d: C.sync_roles(_updates(s, d)),
     "net_delivered": _delivered,
+    "net_resends": _resends,
+    "net_hard_state": _hard_states,
+    "net_exposition": _exposed,
     "chk_slots": _slots,
     "chk_lines": _lines,
 }
@@ -195,6 +214,12 @@ b AS (SELECT *, i < 1 OR t < 1 OR unsorted OR m > i OR (i > own AND i <= c AND t
     "net_reassembled": """WITH g AS (SELECT event_id // 100 AS stream, sum(strlen(props)) AS bytes, count(*) AS n FROM events GROUP BY 1)
 SELECT stream, CAST(bytes AS BIGINT) AS bytes, CASE stream % 7 WHEN 1 THEN CASE WHEN n > 5 THEN 'offset' ELSE 'none' END WHEN 2 THEN 'ended early' WHEN 3 THEN 'checksum' WHEN 4 THEN CASE WHEN n > 50 AND stream + 1 <> 9 THEN 'metadata changed' ELSE 'none' END WHEN 5 THEN 'metadata must be positive' ELSE 'none' END AS problem FROM g""",
     "net_sync_roles": "SELECT CASE WHEN event_id % 3 = 0 OR event_id % 7 = 0 THEN 'follower' ELSE 'leader' END AS role, count(*) AS syncs, CAST(sum(event_id % 6) AS BIGINT) AS entries FROM events WHERE event_id % 6 > 0 GROUP BY 1",
+    "net_resends": """WITH s AS (SELECT event_id % 3 AS peer, event_id - event_id % 3 AS tick, event_id AS last FROM events), a AS (SELECT event_id % 3 AS peer, event_id - event_id % 3 + 4 AS tick, event_id AS matched FROM events WHERE event_type <> 'error'),
+m AS (SELECT s.peer, s.tick, s.last, min(a.tick) AS ack FROM s LEFT JOIN a ON a.peer = s.peer AND a.matched >= s.last GROUP BY ALL)
+SELECT peer, tick, last, CASE WHEN ack - tick < 5 THEN ack END AS settled, CASE WHEN ack IS NULL OR ack - tick >= 5 THEN tick + 5 END AS resend FROM m""",
+    "net_hard_state": """WITH r AS (SELECT user_id % 10 AS node, event_id AS pos, event_id // 50 AS term, user_id % 4 AS vote, event_id < 700 OR user_id % 3 > 0 AS good FROM events)
+SELECT node, arg_max(term, pos) AS term, arg_max(vote, pos) AS vote FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.node = x.node AND NOT y.good AND y.pos <= x.pos) GROUP BY node""",
+    "net_exposition": """SELECT 'events_total{node="n\\"' || user_id % 3 || '",type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type, user_id % 3""",
     "net_delivered": """SELECT event_id AS seq, event_type AS sender, CAST(user_id % 3 AS VARCHAR) AS receiver,
   CASE WHEN event_type = 'error' AND user_id % 3 = 2 AND event_id < 500 THEN 500 WHEN event_type = 'error' AND user_id % 3 = 0 AND event_id < 300 THEN 300 WHEN event_type = 'view' AND user_id % 3 = 1 THEN event_id + 40 ELSE event_id END AS at,
   CASE WHEN event_type = 'error' AND user_id % 3 = 2 AND event_id < 500 THEN -event_id ELSE event_id END AS place

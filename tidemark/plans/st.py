@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +9,15 @@ from ..operators import lww
 from ..schema import DELETE, PUT
 from ..sources import binary
 from ..sources import derived as D
+from ..sources.files import scratch
 from ..sources.kvtable import KVTable, Options
 from ..streaming.dedup import BatchSink, applied_stream
 from ..streaming.windows import throughput
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where that isn't set and Spark is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"/tmp/checkpoints/{os.getpid()}"
-    return f"{root.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 def _stream(spark: SparkSession, rows: DataFrame, name: str, files: int = 4) -> tuple[DataFrame, str]:
     """``rows`` as a file stream that comes in order of the first column, and a scratch folder."""
-    at = _scratch(spark, name)
+    at = scratch(spark, name)
     first = F.unix_micros(rows.columns[0]) if dict(rows.dtypes)[rows.columns[0]] == "timestamp" else F.col(rows.columns[0])
     low, high = rows.agg(F.min(first), F.max(first)).first()
     step = ((high or 0) - (low or 0)) // files + 1
@@ -68,7 +56,7 @@ def table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The log written to a table in two bulk segments and compacted; its live state."""
     log = D.mutation_log(spark, sf).withColumn("place", F.col("seq"))
     half = 5000
-    with KVTable.open(spark, _scratch(spark, "kv"), Options(compaction_threshold=10)) as t:
+    with KVTable.open(spark, scratch(spark, "kv"), Options(compaction_threshold=10)) as t:
         t.append(log.filter(F.col("seq") <= half))
         t.append(log.filter(F.col("seq") > half))
         t.compact()
@@ -78,7 +66,7 @@ def table_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def _two_parts(spark: SparkSession, sf: str, name: str, options: Options) -> KVTable:
     """A table of the log written in two bulk segments."""
     log = D.mutation_log(spark, sf).withColumn("place", F.col("seq"))
-    t = KVTable.open(spark, _scratch(spark, name), options)
+    t = KVTable.open(spark, scratch(spark, name), options)
     t.append(log.filter("seg % 2 = 0").withColumn("place", F.col("seq")))
     t.append(log.filter("seg % 2 = 1"))
     return t
@@ -92,9 +80,9 @@ def table_status(spark: SparkSession, sf: str) -> DataFrame:
 def table_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """The live state of a table that took another one's snapshot in place of its own."""
     with _two_parts(spark, sf, "source", Options(compaction_threshold=2)) as t:
-        image = _scratch(spark, "image")
+        image = scratch(spark, "image")
         t.snapshot(image)
-    with KVTable.open(spark, _scratch(spark, "copy")) as t:
+    with KVTable.open(spark, scratch(spark, "copy")) as t:
         t.put("old", "goes")
         t.flush()
         t.restore(image)

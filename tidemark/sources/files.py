@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import os
 from uuid import uuid4
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder; a local one only where that isn't set and Spark is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"/tmp/checkpoints/{os.getpid()}"
+    return f"{root.rstrip('/')}/tidemark-{name}-{uuid4().hex}"
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.jvm, self.conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..operators import lww
 from ..schema import COMPACTION_THRESHOLD, DELETE, FLUSH_THRESHOLD, MAX_KEY_BYTES, MAX_VALUE_BYTES, PUT, RECORD
 from . import manifest as M
-from .files import Files
+from .files import Files, scratch
 
 
 #: A tail of so many times the threshold's records is flushed, too, however few its keys are.
@@ -61,7 +61,10 @@ class KVTable:
         self.tail: dict[str, tuple[str, str | None, int, int, int]] = {}  # the newest version of each key
         self.records = 0  # in the log of the tail
         self.logged: list[str] = []
-        self.closed = False
+        self.closed = self.passing = False
+        if self.manifest.version == M.LEGACY:  # what was read of it is published in the present form
+            self.manifest = self.manifest.next()
+            M.publish(self.files, self.manifest)
         for name in self.files.names():
             if name.startswith("tail-"):
                 self._keep(self._replay(name))
@@ -71,8 +74,25 @@ class KVTable:
             self.applied_index = max(self.applied_index, self.last_seq)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, options: Options = Options()) -> KVTable:
-        return cls(spark, path, options)
+    def open(cls, spark: SparkSession, path: str = "", options: Options = Options()) -> KVTable:
+        """The table at ``path``, made if it isn't there. Without a path it is a passing one, in a scratch folder that goes
+        when the table is closed."""
+        made = cls(spark, path or scratch(spark, "passing"), options)
+        made.passing = not path
+        return made
+
+    @classmethod
+    def bootstrap(cls, spark: SparkSession, path: str, options: Options = Options()) -> KVTable:
+        """A table of the segments in a folder that has no manifest, oldest name first, which is then published."""
+        t = cls(spark, path, options)
+        if t.manifest.generation:
+            raise TableError("there is a manifest")
+        names = [n for n in t.files.names() if n.startswith("seg-") and M.NAME.fullmatch(n)]
+        segments = tuple(s for n in names if (s := t._segment(n)) is not None)
+        t.manifest = t.manifest.next(segments=segments, next_id=len(names) + 1, last_seq=max((s.max_seq for s in segments), default=0))
+        M.publish(t.files, t.manifest)
+        t.last_seq = max(t.last_seq, t.manifest.last_seq)
+        return t
 
     def __enter__(self) -> KVTable:
         return self
@@ -82,8 +102,10 @@ class KVTable:
 
     def close(self) -> None:
         """Idempotent; a replica flushes first."""
-        if not self.closed and self.options.replica:
+        if not self.closed and self.options.replica and not self.passing:
             self.flush()
+        if not self.closed and self.passing:
+            self.files.delete("")
         self.closed = True
 
     # --- the tail -------------------------------------------------------------
@@ -179,6 +201,9 @@ class KVTable:
         n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         ordered = rows.repartitionByRange(int(n), "key").sortWithinPartitions("key", F.col("seq").desc())
         ordered.write.mode("errorifexists").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{name}")
+        return self._segment(name)
+
+    def _segment(self, name: str) -> M.Segment | None:
         found = self.spark.read.parquet(f"{self.path}/{name}").agg(F.min("key"), F.max("key"), F.count(F.lit(1)), F.max("seq")).first()
         return M.Segment(name, *found) if found[2] else None
 
@@ -250,6 +275,7 @@ class KVTable:
         return lww.live_state(self.log())
 
     def get(self, key: str) -> tuple[bool, str | None]:
+        self._check(key, None)
         row = lww.get(self.log(key, key), key).first()
         return (False, None) if row is None else (True, row["value"])
 
