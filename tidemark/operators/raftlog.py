@@ -42,7 +42,7 @@ def committed(candidates: DataFrame, log: DataFrame, states: DataFrame, group: s
     ``candidate``: it goes up to the candidate only if that is in the leader's log (group, idx, entry_term) and of the
     leader's own term, and never back. Terms don't fall along a log, so no lower index can be of that term if the
     candidate isn't."""
-    held = states.join(candidates, group, "left").withColumn("at", F.least("candidate", "last_index"))
+    held = states.join(candidates, group, "left").withColumn("at", F.when(F.col("candidate").isNotNull(), F.least("candidate", "last_index")))
     at = log.select(F.col(group).alias("_g"), F.col("idx").alias("at"), "entry_term")
     met = held.join(at, (held[group] == at["_g"]) & (held["at"] == at["at"]), "left").drop("_g").select(*[held[c] for c in held.columns], "entry_term")
     up = F.when(F.col("entry_term") == F.col("term"), F.greatest("commit_index", "at")).otherwise(F.col("commit_index"))
