@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as an address or a home folder.
 IPV4 = r"\b\d{1,3}(?:\.\d{1,3}){3}\b"
-IPV6 = r"[0-9A-Fa-f:]*:[0-9A-Fa-f:]*"
+IPV6 = r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]*+:[0-9A-Fa-f:]*+"  # a whole run of hex digits and colons that has a colon
 HOME = r"(?:/home/|/Users/)[^/\"\s\\]+|/root(?:/|\"|$)"
 _PART = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -23,8 +23,9 @@ def privacy(docs: DataFrame, ident: str, text: str, words: tuple[str, ...] = ())
     long = rf"^(?:{_HEX}:){{7}}{_HEX}$"
     short = rf"^(?:{_HEX}(?::{_HEX})*)?::(?:{_HEX}(?::{_HEX})*)?$"
     v6 = F.filter(every(IPV6), lambda x: x.rlike(long) | (x.rlike(short) & (groups(x) <= 7)))
-    own = F.filter(F.concat(v4, v6), lambda x: x.startswith("127.") | (x == "0.0.0.0") | x.rlike("^[0:]*:0{0,3}[01]$|^::$"))
-    found = docs.select(ident, *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for n, c in (("ipv4", v4), ("ipv6", v6), ("loopback", own), ("homes", every(HOME)))], *[F.coalesce(F.col(text).rlike(rf"(?i)(?:^|[^A-Za-z0-9_-])\Q{w}\E(?:$|[^A-Za-z0-9_-])"), F.lit(False)).alias(f"_w{i}") for i, w in enumerate(words)])
+    own = F.filter(F.concat("v4", "v6"), lambda x: x.startswith("127.") | (x == "0.0.0.0") | x.rlike("^[0:]*:0{0,3}[01]$|^::$"))
+    held = docs.select(ident, v4.alias("v4"), v6.alias("v6"), every(HOME).alias("home"), *[F.coalesce(F.col(text).rlike(rf"(?i)(?:^|[^A-Za-z0-9_-])\Q{w}\E(?:$|[^A-Za-z0-9_-])"), F.lit(False)).alias(f"_w{i}") for i, w in enumerate(words)])
+    found = held.select(ident, *[F.coalesce(F.size(c), F.lit(0)).cast("long").alias(n) for n, c in (("ipv4", F.col("v4")), ("ipv6", F.col("v6")), ("loopback", own), ("homes", F.col("home")))], *[f"_w{i}" for i in range(len(words))])
     named = F.lit(False)
     for i in range(len(words)):
         named = named | F.col(f"_w{i}")
