@@ -158,7 +158,7 @@ def disclosing_terms(rows: DataFrame, limits: Limits, tables: list[Table]) -> tu
     near = written(rows.join(_few(texts), "_text").select("node", "family", F.explode(_terms(c("text"))).alias("term")).distinct(), "near")
     # a term beside some entity in m texts is in m at least: with m above k / share, P(e|t) is below share
     rare = near.groupBy("term").agg(one.alias("m"), F.countDistinct("family").alias("f")).filter((c("f") >= limits.contexts) & (c("m") * limits.share <= most)).select("term", "m")
-    met = near.join(rare, "term").join(mentions.select("node", "entity", "k"), "node").filter(c("m") * limits.share <= c("k"))
+    met = near.join(_few(written(rare, "rare")), "term").join(mentions.select("node", "entity", "k"), "node").filter(c("m") * limits.share <= c("k"))
     pairs = met.groupBy("entity", "term").agg(one.alias("n_both"), F.countDistinct("family").alias("f"), F.max("k").alias("k"))
     pairs = written(pairs.filter(c("f") >= limits.contexts).drop("f"), "pairs")
     wanted = written(pairs.select("term").distinct(), "wanted")
